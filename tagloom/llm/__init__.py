@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokencount",)
+MODULES = ("idstore", "warc", "tokencount", "mixing")
 
 
 def queries() -> dict:

@@ -52,3 +52,30 @@ def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(uri: str):
+    """(pyarrow file system, path) of a place in the shared folder, on any machine."""
+    import re
+
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
+def write_file(uri: str, parts) -> int:
+    """Write byte strings under a temporary name of this attempt, then rename: a reader sees the whole file or none."""
+    system, path = files(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    part, n = f"{path}.{uuid.uuid4().hex}.tmp", 0
+    try:
+        with system.open_output_stream(part, compression=None) as out:
+            for x in parts:
+                out.write(x)
+                n += len(x)
+        system.move(part, path)
+    except BaseException:
+        if system.get_file_info(part).is_file:
+            system.delete_file(part)
+        raise
+    return n
