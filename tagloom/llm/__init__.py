@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "idstore", "warc", "tokencount", "mixing")
+MODULES = ("ngram_join", "idstore", "warc", "tokencount", "mixing", "cosine")
 
 
 def queries() -> dict:
