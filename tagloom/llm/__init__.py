@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "langid", "idstore", "warc", "tokencount", "mixing", "cosine")
+MODULES = ("ngram_join", "quality", "langid", "idstore", "warc", "tokencount", "mixing", "cosine")
 
 
 def queries() -> dict:
