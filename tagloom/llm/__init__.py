@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "quality", "langid", "idstore", "warc", "tokencount", "mixing", "cosine", "sentencepieces")
+MODULES = ("ngram_join", "quality", "langid", "lines", "idstore", "warc", "tokencount", "mixing", "cosine", "sentencepieces")
 
 
 def queries() -> dict:
