@@ -192,6 +192,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` with letters in their text, with all columns; the others have no language and go. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.slices(batches, "text"):
+            best, _ = shared.value.predict(batch.column("text"))
+            yield batch.filter(pa.array(best >= 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 

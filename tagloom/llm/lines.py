@@ -156,6 +156,13 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = LEAST) -> DataFrame:
     return joined.select("row", count.cast("long").alias("n_lines"), F.coalesce("removed", F.expr("cast(array() as array<struct<line:int,first_doc:bigint,first_line:int>>)")).alias("removed"), text.alias("text"))
 
 
+def without_repeats(docs: DataFrame, tau: int = 2, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs`` with their columns; text without repeated lines, n_chars (if there is such a column) its length."""
+    done = dedup_lines(docs, tau, least)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))}
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
