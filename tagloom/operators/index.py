@@ -70,9 +70,9 @@ def newest(index: DataFrame, order: list[str]) -> DataFrame:
     return best.select("id", "row.*")
 
 
-def stats(index: DataFrame, file: Column | None = None) -> DataFrame:
+def stats(index: DataFrame) -> DataFrame:
     """buckets and files of an index as read."""
-    return index.agg(F.count_distinct("bucket").alias("buckets"), F.count_distinct(file if file is not None else F.input_file_name()).alias("files"))
+    return index.select("bucket", F.input_file_name().alias("file")).agg(F.count_distinct("bucket").alias("buckets"), F.count_distinct("file").alias("files"))
 
 
 def needs_compaction(buckets: Column, files: Column) -> Column:
