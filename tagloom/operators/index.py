@@ -49,9 +49,9 @@ def build(source: DataFrame, modulus: int = MODULUS) -> DataFrame:
     return project(usable(source)).withColumn("bucket", bucket_of(F.col("id"), modulus))
 
 
-def write(index: DataFrame, path: str, files_each: int = 1) -> None:
-    """One directory a bucket, about ``files_each`` files in each, ZSTD Parquet; a bucket's rows meet in that many tasks."""
-    spread = index.repartition("bucket") if files_each == 1 else index.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(files_each)))
+def write(index: DataFrame, path: str, whole: bool = True) -> None:
+    """One directory a bucket, ZSTD Parquet. ``whole``: a bucket's rows meet in one task and file; else each task writes its own fragments, without a shuffle."""
+    spread = index.repartition("bucket") if whole else index
     spread.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 

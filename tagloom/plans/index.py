@@ -46,9 +46,9 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.usable(fx.posts(spark, sf_dir)).select("id", "rating")
 
 
-def _written(spark: SparkSession, sf_dir: str, files: int = 1) -> str:
+def _written(spark: SparkSession, sf_dir: str, whole: bool = True) -> str:
     at = scratch(spark)
-    index.write(index.build(fx.posts(spark, sf_dir), MODULUS), at, files)
+    index.write(index.build(fx.posts(spark, sf_dir), MODULUS), at, whole)
     return at
 
 
@@ -77,7 +77,7 @@ def index_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {fx.POSTS}, {INDEX} select bucket, count(*) as n, sum(id)::bigint as ids, 1::bigint as files from idx group by bucket")
 def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loose, whole = _written(spark, sf_dir, 3), scratch(spark)
+    loose, whole = _written(spark, sf_dir, False), scratch(spark)
     index.compact(spark, loose, whole)
     got = index.read(spark, whole).withColumn("file", F.input_file_name())
     return got.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count_distinct("file").alias("files"))
