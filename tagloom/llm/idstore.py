@@ -4,7 +4,7 @@ Layout below the store's root, which lies in the folder that all machines share:
 
 * ``packs/pack-NNNNNN.ids``: ``TLID``, version and id width (two unsigned 16-bit integers), then
   for each chunk its 16-byte BLAKE2b digest, its number of ids (unsigned 32-bit) and its ids, all
-  little-endian. Chunks are in digest order; each stands in one pack only.
+  little-endian (ids hold too little redundancy for compression to pay: 3 % of the bytes). Chunks are in the order in which they were met; each stands in one pack only.
 * ``recipes/``: Parquet in ascending (doc_id, row) order: which chunks make up which document.
 * ``MANIFEST.json``: every pack with its number of chunks and Merkle root, and the root over packs.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ LEAST, MOST, ZERO_BITS = 64, 4096, 9
 MAGIC, VERSION = b"TLID", 1
 _ROLL = tx.mix(np.arange(1 << 17, dtype=np.uint64) + np.uint64(0x51ED270B))
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in (1, 2, 4)]
-UNIT = "part int, row long, doc_id long, n_doc long, at long, n long, digest binary, payload binary"
+UNIT = "part int, row long, doc_id long, n_doc long, at long, n long, digest binary, loose string"
 
 
 def cut_points(ids: np.ndarray) -> np.ndarray:
@@ -98,54 +99,93 @@ def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return c
 
 
-def _tokenise(tokenizer: str, end_id: int, width: int):
+def _head(width: int) -> bytes:
+    return MAGIC + struct.pack("<HH", VERSION, width)
+
+
+def _tokenise(tokenizer: str, end_id: int, width: int, root: str):
+    """Chunks of each document; a chunk new to the task goes into the task's loose file, which its row names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part, row = Pieces.of(tokenizer), TaskContext.get().partitionId(), 0
-        seen: set[bytes] = set()  # a chunk's payload leaves the task once
-        for batch in tx.slices(batches, "text"):
-            data, offsets = tx.column(batch.column("text"))
-            ids, first = pieces.ids(data, offsets)
-            ids = np.insert(ids, first[1:], end_id)
-            first = first + np.arange(len(first))
-            points, raw = cut_points(ids), ids.astype(f"<u{width}").tobytes()
-            doc, at, n, digest, payload = [], [], [], [], []
-            for d in range(batch.num_rows):
-                a = s = int(first[d])
-                for b in cut(a, int(first[d + 1]), points):
-                    x = raw[a * width : b * width]
-                    key = hashlib.blake2b(x, digest_size=16).digest()
-                    doc.append(d), at.append(a - s), n.append(b - a), digest.append(key)
-                    payload.append(None if key in seen else x)
-                    seen.add(key)
-                    a = b
-            doc = np.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(doc), part, np.int32)), pa.array(row + doc), batch.column("doc_id").take(pa.array(doc)), pa.array(np.diff(first)[doc]), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(payload, pa.binary())],
-                names=["part", "row", "doc_id", "n_doc", "at", "n", "digest", "payload"],
-            )
-            row += batch.num_rows
+        name = f"{part:06d}-{uuid.uuid4().hex}"  # of this attempt: rows of a failed one never count
+        system, path = files(f"{root}/loose")
+        system.create_dir(path, recursive=True)
+        seen: set[bytes] = set()
+        with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(_head(width))
+            for batch in tx.slices(batches, "text"):
+                data, offsets = tx.column(batch.column("text"))
+                ids, first = pieces.ids(data, offsets)
+                ids = np.insert(ids, first[1:], end_id)
+                first = first + np.arange(len(first))
+                points, raw = cut_points(ids), ids.astype(f"<u{width}").tobytes()
+                doc, at, n, digest, loose = [], [], [], [], []
+                for d in range(batch.num_rows):
+                    a = s = int(first[d])
+                    for b in cut(a, int(first[d + 1]), points):
+                        x = raw[a * width : b * width]
+                        key = hashlib.blake2b(x, digest_size=16).digest()
+                        doc.append(d), at.append(a - s), n.append(b - a), digest.append(key)
+                        loose.append(None if key in seen else name)
+                        if key not in seen:
+                            seen.add(key)
+                            out.write(key + struct.pack("<I", b - a) + x)
+                        a = b
+                doc = np.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(doc), part, np.int32)), pa.array(row + doc), batch.column("doc_id").take(pa.array(doc)), pa.array(np.diff(first)[doc]), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(loose, pa.string())],
+                    names=["part", "row", "doc_id", "n_doc", "at", "n", "digest", "loose"],
+                )
+                row += batch.num_rows
 
     return run
 
 
-def _write_pack(root: str, width: int):
+def _chunks(f, name: str, width: int) -> Iterator[tuple[bytes, bytes]]:
+    """(digest, ids) of an open pack."""
+    if f.read(8) != _head(width):
+        raise ValueError(f"{name}: not a pack of this version and width")
+    while mark := f.read(20):
+        size = struct.unpack("<I", mark[16:])[0] * width if len(mark) == 20 else -1
+        x = f.read(size) if size >= 0 else b""
+        if len(x) != size:
+            raise ValueError(f"{name}: it ends inside a chunk")
+        yield mark[:16], x
+
+
+def _write_packs(root: str, width: int):
+    """From rows (loose, digest) sorted by file: a pack for each loose file, without the digests that another pack holds."""
+
+    def write(loose: str, elsewhere: set[bytes]) -> pa.RecordBatch:
+        name, leaves, ids = f"pack-{loose[:6]}.ids", [], 0
+        system, path = files(f"{root}/loose/{loose}")
+        with system.open_input_stream(path, compression=None, buffer_size=1 << 20) as f:
+
+            def parts() -> Iterator[bytes]:
+                nonlocal ids
+                yield _head(width)
+                for key, x in _chunks(f, loose, width):
+                    if key not in elsewhere:
+                        leaves.append(key)
+                        ids += len(x) // width
+                        yield key + struct.pack("<I", len(x) // width) + x
+
+            size = write_file(f"{root}/packs/{name}", parts())
+        return pa.RecordBatch.from_pydict({"pack": [name], "chunks": [len(leaves)], "ids": [ids], "bytes": [size], "merkle": [merkle(leaves).hex()]})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, leaves, ids = f"pack-{TaskContext.get().partitionId():06d}.ids", [], [0]
-
-        def parts() -> Iterator[bytes]:
-            yield MAGIC + struct.pack("<HH", VERSION, width)
-            for batch in batches:
-                for key, x in zip(batch.column("digest").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                    if leaves and leaves[-1] == key:
-                        continue
-                    leaves.append(key)
-                    ids[0] += len(x) // width
-                    yield key + struct.pack("<I", len(x) // width) + x
-
-        got = parts()
-        size = write_file(f"{root}/packs/{name}", got)
-        if leaves:
-            yield pa.RecordBatch.from_pydict({"pack": [name], "chunks": [len(leaves)], "ids": [ids[0]], "bytes": [size], "merkle": [merkle(leaves).hex()]})
+        now, elsewhere = None, set()
+        for batch in batches:
+            for loose, key in zip(batch.column("loose").to_pylist(), batch.column("digest").to_pylist(), strict=True):
+                if loose != now:
+                    if now:
+                        yield write(now, elsewhere)
+                    now, elsewhere = loose, set()
+                if key is not None:
+                    elsewhere.add(key)
+        if now:
+            yield write(now, elsewhere)
 
     return run
 
@@ -154,19 +194,24 @@ def write_store(docs: DataFrame, tokenizer: str, root: str, end_id: int = 0) ->
     """Encode ``docs`` (doc_id, text) into a store at ``root``; returns its manifest.
 
     Each text is encoded whole (null: empty) without added special tokens and ``end_id`` put after
-    it. Rows of equal doc_id keep the order in which they were read; null doc_ids come first. Only
-    chunks new to a task leave it, and a digest's payloads meet in one place: at most one from each
-    task, however many documents hold the chunk. Other columns are left out.
+    it. Rows of equal doc_id keep the order in which they were read; null doc_ids come first. Other
+    columns are left out.
+
+    A task writes the chunks that are new to it into a loose file of its own; ids are never
+    shuffled. Then digests alone decide which file keeps a chunk that several hold (the first), and
+    each loose file is copied into its pack without the others. The loose files go at the end.
     """
     spark = docs.sparkSession
     width = 2 if len(Pieces.of(tokenizer).width) <= 65536 else 4
-    staged = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(tokenizer, end_id, width), UNIT), "ids-staged")
-    unique = staged.where("payload is not null").select("digest", "payload").repartition("digest").sortWithinPartitions("digest")
-    packs = unique.mapInArrow(_write_pack(root, width), "pack string, chunks long, ids long, bytes long, merkle string").collect()  # a row for each file
+    staged = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(tokenizer, end_id, width, root), UNIT), "ids-staged")
+    held = staged.where("loose is not null").select("digest", "loose")
+    kept = held.groupBy("digest").agg(F.min("loose").alias("keeper"))
+    listed = held.join(kept.hint("merge"), "digest").where("loose <> keeper").select("loose", "digest").unionByName(held.select("loose").distinct().withColumn("digest", F.lit(None).cast("binary")))
+    packs = listed.repartition("loose").sortWithinPartitions("loose").mapInArrow(_write_packs(root, width), "pack string, chunks long, ids long, bytes long, merkle string").collect()  # a row for each file
     order = ["doc_id", "part", "row", "at"]
-    recipes = staged.drop("payload").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("file", F.spark_partition_id())
+    recipes = staged.drop("loose").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("file", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{root}/recipes")
-    remove(spark, staged)
+    remove(spark, staged, f"{root}/loose")
     packs = sorted((p.asDict() for p in packs), key=lambda p: p["pack"])
     manifest = {"version": VERSION, "width": width, "end_id": end_id, "packs": packs, "merkle": merkle([bytes.fromhex(p["merkle"]) for p in packs]).hex()}
     write_file(f"{root}/MANIFEST.json", [json.dumps(manifest, indent=1).encode()])
@@ -182,32 +227,29 @@ def read_manifest(root: str) -> dict:
     return manifest
 
 
-def _pack_reader(root: str, payload: bool):
+def _pack_reader(root: str, payload: bool, width: int):
     """Read whole packs, check every digest and the pack's Merkle root, give (digest, n, crc, payload)."""
 
+    def batch_of(digest: list, n: list, crc: list, content: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(content, pa.binary())], names=["digest", "n", "crc", "payload"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.to_pylist():
                 system, path = files(f"{root}/packs/{p['pack']}")
                 leaves: list[bytes] = []
                 with system.open_input_stream(path, compression=None, buffer_size=1 << 20) as f:
-                    head = f.read(8)
-                    version, width = struct.unpack("<HH", head[4:])
-                    if head[:4] != MAGIC or version != VERSION:
-                        raise ValueError(f"{p['pack']}: not a pack")
-                    while True:
-                        digest, n, crc, content = [], [], [], []
-                        while len(digest) < 2000 and len(mark := f.read(20)) == 20:
-                            key, count = mark[:16], struct.unpack("<I", mark[16:])[0]
-                            x = f.read(count * width)
-                            if hashlib.blake2b(x, digest_size=16).digest() != key:
-                                raise ValueError(f"{p['pack']}: a chunk differs from its digest")
-                            digest.append(key), n.append(count), content.append(x if payload else None)
-                            crc.append(zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()))
-                        if not digest:
-                            break
-                        leaves += digest
-                        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(content, pa.binary())], names=["digest", "n", "crc", "payload"])
+                    digest, n, crc, content = [], [], [], []
+                    for key, x in _chunks(f, p["pack"], width):
+                        if hashlib.blake2b(x, digest_size=16).digest() != key:
+                            raise ValueError(f"{p['pack']}: a chunk differs from its digest")
+                        digest.append(key), n.append(len(x) // width), content.append(x if payload else None)
+                        crc.append(zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()))
+                        leaves.append(key)
+                        if len(digest) == 2000:
+                            yield batch_of(digest, n, crc, content)
+                            digest, n, crc, content = [], [], [], []
+                    yield batch_of(digest, n, crc, content)
                 if merkle(leaves).hex() != p["merkle"]:
                     raise ValueError(f"{p['pack']}: Merkle root differs")
 
@@ -216,9 +258,10 @@ def _pack_reader(root: str, payload: bool):
 
 def read_chunks(spark: SparkSession, root: str, payload: bool = True) -> DataFrame:
     """All chunks of the store (digest, n, crc, payload), read from its packs and verified."""
-    packs = [(p["pack"], p["merkle"]) for p in read_manifest(root)["packs"]]
+    manifest = read_manifest(root)
+    packs = [(p["pack"], p["merkle"]) for p in manifest["packs"]]
     listed = spark.createDataFrame(packs, "pack string, merkle string").repartition(max(1, len(packs)))
-    return listed.mapInArrow(_pack_reader(root, payload), "digest binary, n long, crc long, payload binary")
+    return listed.mapInArrow(_pack_reader(root, payload, manifest["width"]), "digest binary, n long, crc long, payload binary")
 
 
 def _recipes(spark: SparkSession, root: str) -> DataFrame:
@@ -247,7 +290,8 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "part", "row", "begin", "n")), pa.array(crc_shift(crc, behind * 4).astype(np.int64))], names=["doc_id", "part", "row", "begin", "n", "crc"])
 
     stats = read_chunks(spark, root, payload=False).select("digest", "crc")
-    joined = _recipes(spark, root).join(stats, "digest").select("doc_id", "part", "row", (F.col("start") - F.col("at")).alias("begin"), "n", "crc", (F.col("n_doc") - F.col("at") - F.col("n")).alias("behind"))
+    # the packs' names are a small table, but what they hold isn't: no broadcast
+    joined = _recipes(spark, root).hint("merge").join(stats.hint("merge"), "digest").select("doc_id", "part", "row", (F.col("start") - F.col("at")).alias("begin"), "n", "crc", (F.col("n_doc") - F.col("at") - F.col("n")).alias("behind"))
     moved = joined.mapInArrow(shift, "doc_id long, part int, row long, begin long, n long, crc long")
     return moved.groupBy("doc_id", "part", "row").agg(F.min("begin").alias("start"), F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32")).drop("part", "row")
 
@@ -261,7 +305,7 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
             ids = [np.frombuffer(b"".join(x["payload"] for x in c), f"<u{width}").astype(np.int64) for c in b.column("chunks").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
-    whole = _recipes(spark, root).join(read_chunks(spark, root).select("digest", "payload"), "digest")
+    whole = _recipes(spark, root).hint("merge").join(read_chunks(spark, root).select("digest", "payload").hint("merge"), "digest")
     docs = whole.groupBy("doc_id", "part", "row").agg(F.min(F.col("start") - F.col("at")).alias("start"), F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("chunks"))
     return docs.select("doc_id", "start", "chunks").mapInArrow(join_up, "doc_id long, start long, ids array<long>")
 
