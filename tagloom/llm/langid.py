@@ -112,8 +112,6 @@ def phrases(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, step: np.nda
     moves = step.ravel()
     root = np.maximum(step[0], 0)  # a letter that the language lacks is a phrase of its own
     state, count = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int64)
-    # one more phrase for what is open at the end
-    count += lens > 0
     live, at = len(lens), 0
     while live:
         live = int(np.searchsorted(-lens, -at, "left"))
@@ -122,7 +120,7 @@ def phrases(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, step: np.nda
         c = flat[starts[:live] + at]
         new = moves[state[:live] * letters + c]
         ends = new < 0
-        count[:live] += ends & (state[:live] > 0)
+        count[:live] += ends | (state[:live] == 0)  # where a phrase begins
         state[:live] = np.where(ends, root[c], new)
         at += 1
     return count
