@@ -8,6 +8,7 @@ machine, tests) a temporary folder stands in.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -37,11 +38,18 @@ def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFra
     at = new_dir(df.sparkSession, what)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(at)
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
     out._tagloom_path = at
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan needs any more; it notices when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Delete what ``stored`` wrote, once nothing lazy reads it any more."""
     jvm = spark.sparkContext._jvm

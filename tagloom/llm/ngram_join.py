@@ -34,12 +34,15 @@ from tagloom.llm._graph import components
 from tagloom.llm._work import stored, table
 
 U64 = np.uint64
-#: A shingle in more than one document of HOT is ordered last; at most HOT times the mean set size are.
-HOT = 1000
+#: So many of the most frequent shingles come last in the lists' order (16 bytes each on every machine).
+#: The order decides only how many pairs are compared, never which link.
+HOT = 250_000
 #: Light sets are below this size at most.
 LARGEST_LIGHT = 24
 #: Cost of comparing a heavy set, in keys for each of its shingles.
 COMPARE = 0.25
+#: Turns in which members of a list are compared with a central one before all that is left is compared, and candidates for that one.
+TURNS, PIVOTS = 2, 4
 LIST = "key long, fp long, n int, pos int"
 
 
@@ -67,9 +70,14 @@ def boundary(sizes: dict[int, int], t: Fraction) -> int:
     return min(range(2, LARGEST_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of 64 parts of the hash range, 255 standing for more."""
+    return np.minimum(np.bincount((s >> U64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+
+
 def fingerprint(s: np.ndarray) -> int:
     """Hash of a set of shingles."""
-    return int(tx.mix(tx.mix(s + U64(0x2545F4914F6CDD1D)).sum(keepdims=True) + U64(len(s)) * U64(0x9E3779B97F4A7C15)).view(np.int64)[0])
+    return int(tx.mix(tx.mix(s + U64(0x2545F4914F6CDD1D)).sum(keepdims=True) + U64(len(s) * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)[0])
 
 
 def _scan(size: int):
@@ -78,7 +86,7 @@ def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
         loose: list[np.ndarray] = []
-        held = docs = 0
+        held = 0
 
         def settle(least: int) -> None:
             nonlocal keys, counts, loose, held
@@ -89,16 +97,19 @@ def _scan(size: int):
             if len(keys) > 2_000_000:  # shingles met once so far can't become frequent unless they are met again
                 keys, counts = keys[counts > 1], counts[counts > 1]
             keys, counts = keys[counts >= least], counts[counts >= least]
+            if least > 1 and len(keys) > HOT:
+                top = np.sort(np.argpartition(-counts, HOT)[:HOT])
+                keys, counts = keys[top], counts[top]
             loose, held = [], 0
 
         for batch in tx.slices(batches, "text"):
             sets = tx.shingle_sets(*tx.column(batch.column("text")), size)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["kind", "doc_id", "n", "fp"])
             loose += sets
-            held, docs = held + sum(map(len, sets)), docs + len(sets)
+            held += sum(map(len, sets))
             if held > 3_000_000:
                 settle(1)
-        settle(max(2, docs // (2 * HOT)))
+        settle(2)
         for a in range(0, len(keys), 50_000):
             k, c = keys[a : a + 50_000], counts[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.array(c), pa.array(k.view(np.int64))], names=["kind", "doc_id", "n", "fp"])
@@ -114,7 +125,7 @@ def _lists(size: int, t: Fraction, below: int, hot: np.ndarray, rank: np.ndarray
         n = len(s)
         for a, b in size_pairs(n, below, t):
             subsets = np.array(list(combinations(range(n), share(a, b, t))), np.int64)
-            yield a, tx.mix((s[subsets] * tx.PLACES[0]).sum(1) + tx.mix(s[subsets]).sum(1) + U64(a) * tx.PLACES[1] + U64(b) * tx.PLACES[2])
+            yield a, tx.mix((s[subsets] * tx.PLACES[0]).sum(1) + tx.mix(s[subsets]).sum(1) + U64((a * 1_000_003 + b) * 0x9E3779B97F4A7C15 % 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -146,7 +157,7 @@ def _lists(size: int, t: Fraction, below: int, hot: np.ndarray, rank: np.ndarray
 
 
 def _runs(t: Fraction):
-    """From rows sorted by (key, pos < 0, n, fp): kind 0 entries of lists of two sets or more, 1 pairs to compare, 2 links.
+    """From rows sorted by (key, pos < 0, n, fp): kind 0 entries of lists that hold a set of nearly their size, 1 pairs to compare, 2 links.
 
     Equal keys of light sets for sizes (a, b): whoever is there shares c(a, b) shingles with a set
     of size a, so all link with the first, if it is of size a. Of a list that goes on from batch to
@@ -183,40 +194,67 @@ def _runs(t: Fraction):
                 yield out(2, a=fp[first[i]], b=fp[i])
             i = np.flatnonzero(new & ~light)
             x, y = np.concatenate((first[i], i - 1)), np.concatenate((i, i))
-            fits = top * n[y] <= bottom * n[x]
+            most = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+            fits = (top * n[y] <= bottom * n[x]) & (most * (top + bottom) >= top * (n[x] + n[y]))
             if fits.any():
                 x, y = fp[x[fits]], fp[y[fits]]
                 ab = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
                 yield out(1, a=ab[:, 0], b=ab[:, 1])
-            goes_on = np.concatenate((same[1:], [False]))
-            wanted = (same | goes_on) & ~light
-            if carried == 2:  # both have been written
-                wanted[:2] = False
+            # an entry counts if its neighbour in size is near enough for a link; a held one may have been written
+            near = new & ~light & (top * n <= bottom * np.concatenate((n[:1], n[:-1])))
+            wanted = near.copy()
+            wanted[:-1] |= near[1:]
+            if carried == 2:  # the first one's neighbour isn't the second one here
+                wanted[0] = False
+            for r in range(carried):
+                wanted[r] &= not held[r][4]
             w = np.flatnonzero(wanted)
             if len(w):
                 yield out(0, key[w], fp[w], None, n[w], pos[w])
             ends = dict.fromkeys((int(first[-1]), len(key) - 1))
-            held = [(int(key[r]), int(fp[r]), int(n[r]), int(pos[r])) for r in ends]
+            held = [(int(key[r]), int(fp[r]), int(n[r]), int(pos[r]), bool(wanted[r]) or (r < carried and held[r][4])) for r in ends]
 
     return run
 
 
-def _cross(t: Fraction):
-    """Pairs of one list that are in different components and may link, from rows sorted by (key, n, fp) with their root."""
+def _cross(t: Fraction, turn: int | None = None):
+    """Pairs of one list that are in different components and may link, from rows sorted by (key, n, fp) with their root.
+
+    With a ``turn`` only few of them: each member with one of the list's most central ones. A
+    document that others were copied from has no rare shingles of its own, so the list's shingle
+    comes early among its shingles, while each copy's own ones come before it.
+    """
     top, bottom = t.numerator, t.denominator
 
-    def pairs_of(fp: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+    def pivots(fp: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+        chosen = np.lexsort((fp, pos / n))[turn * PIVOTS : (turn + 1) * PIVOTS]
+        for a in range(0, len(fp) if len(chosen) else 0, 65536):
+            i, j = np.arange(a, min(a + 65536, len(fp)))[:, None], chosen[None, :]
+            fits = (root[i] != root[j]) & (top * n[i] <= bottom * n[j]) & (top * n[j] <= bottom * n[i])
+            fits &= (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])) * (top + bottom) >= top * (n[i] + n[j])
+            w = np.flatnonzero(fits.any(1))
+            x, y = fp[i[w, 0]], fp[chosen[fits[w].argmax(1)]]
+            if len(w):
+                yield np.stack((np.minimum(x, y), np.maximum(x, y)), 1)
+
+    def pairs_of(fp: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, parts: np.ndarray) -> Iterator[np.ndarray]:
         names, back, counts = np.unique(root, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
         main = back == counts.argmax()
         n64, pos64 = n.astype(np.int64), pos.astype(np.int64)
+        if turn is not None:
+            yield from pivots(fp, n64, pos64, root)
+            return
         for i in np.flatnonzero(~main):
             lo, hi = np.searchsorted(n64 * bottom, n64[i] * top), np.searchsorted(n64 * top, n64[i] * bottom, "right")
             j = np.arange(lo, hi)
             j = j[(root[j] != root[i]) & (main[j] | (j > i))]
-            most = np.minimum(pos64[i], pos64[j]) + 1 + np.minimum(n64[i] - pos64[i], n64[j] - pos64[j]) - 1
+            most = np.minimum(pos64[i], pos64[j]) + np.minimum(n64[i] - pos64[i], n64[j] - pos64[j])
             j = j[most * (top + bottom) >= top * (n64[i] + n64[j])]
+            # they share at most the smaller count of each part of the hash range
+            most = np.minimum(parts[i], parts[j]).sum(1, dtype=np.int64)
+            j = j[(most * (top + bottom) >= top * (n64[i] + n64[j])) | (parts[i].max() == 255)]
             if len(j):
                 yield np.stack((np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])), 1)
 
@@ -236,6 +274,7 @@ def _cross(t: Fraction):
             for batch in batches:
                 if batch.num_rows:
                     cols = [batch.column(c).to_numpy() for c in ("key", "fp", "n", "pos", "root")]
+                    cols.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, 64))
                     if left is not None:
                         cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
                     others = np.flatnonzero(cols[0] != cols[0][-1])
@@ -246,13 +285,13 @@ def _cross(t: Fraction):
             if left is not None:
                 yield left
 
-        for key, fp, n, pos, root in every():
+        for key, fp, n, pos, root, parts in every():
             edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             # lists whose members differ in their component
             differs = np.add.reduceat(np.concatenate(([0], (root[1:] != root[:-1]) & (key[1:] == key[:-1]))), edges[:-1]) > 0 if len(key) else []
             for r in np.flatnonzero(differs):
                 a, b = edges[r], edges[r + 1]
-                for ab in pairs_of(fp[a:b], n[a:b], pos[a:b], root[a:b]):
+                for ab in pairs_of(fp[a:b], n[a:b], pos[a:b], root[a:b], parts[a:b]):
                     found.append(ab)
                     size += len(ab)
                     if size > 200_000:
@@ -291,9 +330,9 @@ def _texts(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.slices(batches, "text"):
-            fp = batch.column("fp").to_numpy()
-            same = np.array([fingerprint(s) for s in tx.shingle_sets(*tx.column(batch.column("text")), size)], np.int64) == fp
-            yield pa.RecordBatch.from_arrays([pa.array(fp[same]), batch.column("text").filter(pa.array(same))], names=["fp", "text"])
+            fp, sets = batch.column("fp").to_numpy(), tx.shingle_sets(*tx.column(batch.column("text")), size)
+            same = pa.array(np.array([fingerprint(s) for s in sets], np.int64) == fp)
+            yield pa.RecordBatch.from_arrays([batch.column("fp").filter(same), pa.array([sketch(s) for s in sets], pa.binary()).filter(same), batch.column("text").filter(same)], names=["fp", "sketch", "text"])
 
     return run
 
@@ -312,10 +351,9 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
     scanned = stored(docs.mapInArrow(_scan(size), "kind int, doc_id long, n long, fp long"), "ngram-scan", "kind")
     found = scanned.where("kind = 0").select("doc_id", "n", "fp")
     classes = stored(found.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id")), "ngram-classes")
-    total = classes.count()
     sizes = {r["n"]: r["k"] for r in classes.where(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}  # a row for each small size
     below = boundary(sizes, t)
-    counts = scanned.where("kind = 1").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total // HOT)).toPandas()  # at most HOT times the mean set size
+    counts = scanned.where("kind = 1").groupBy("fp").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "fp").limit(HOT).toPandas()  # HOT rows at most
     counts = counts.sort_values("fp", key=lambda c: c.to_numpy().view(U64))
     hot, rank = counts["fp"].to_numpy(np.int64).view(U64), counts["n"].to_numpy(np.int64)
 
@@ -327,7 +365,7 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
     first = stored(runs.where("kind = 1").select("a", "b").distinct(), "ngram-pairs")
     wanted = runs.where("kind = 0").select(F.col("a").alias("fp")).distinct()
     at = classes.join(wanted, "fp", "left_semi").select("fp", "doc_id")
-    texts = stored(docs.join(at, "doc_id").select("fp", "text").mapInArrow(_texts(size), "fp long, text string").dropDuplicates(["fp"]), "ngram-texts")
+    texts = stored(docs.join(at, "doc_id").select("fp", "text").mapInArrow(_texts(size), "fp long, sketch binary, text string").dropDuplicates(["fp"]), "ngram-texts")
 
     def compared(pairs: DataFrame) -> DataFrame:
         b = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
@@ -337,11 +375,22 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
     links = stored(runs.where("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(compared(first)), "ngram-links")
     roots = stored(components(links), "ngram-roots")
     entries = runs.where("kind = 0").select("key", F.col("a").alias("fp"), "n", "pos")
-    rooted = entries.join(roots, entries["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-    crossing = rooted.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_cross(t), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(compared(crossing), "ngram-more")
-    if not more.isEmpty():
-        roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "ngram-roots")
+    tested, turn = first, 0
+    while True:
+        last = turn == TURNS
+        rooted = entries.join(roots, entries["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+        rooted = rooted.join(texts.select("fp", "sketch"), "fp")
+        crossing = rooted.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_cross(t, None if last else turn), "a long, b long")
+        crossing = stored(crossing.distinct().join(tested, ["a", "b"], "left_anti"), "ngram-crossing")
+        more = stored(compared(crossing), "ngram-more")
+        if not more.isEmpty():
+            roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "ngram-roots")
+        elif not last:
+            turn = TURNS - 1  # another member would hardly do better
+        if last:
+            break
+        tested = tested.unionByName(crossing)
+        turn += 1
 
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "n", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
