@@ -72,10 +72,13 @@ def groups(samples: DataFrame, block: int, batch: int, accumulate: int) -> DataF
     # the groups of a block, in the order of bucket names
     first = F.sum(F.col("upto") - F.col("from")).over(W.orderBy("taken_at", "bucket")) - (F.col("upto") - F.col("from"))
     taken = taken.withColumn("first", first)
-    own = W.partitionBy("bucket").orderBy("position")
-    numbered = blocks.withColumn("g", F.floor((F.row_number().over(own) - 1) / batch))
-    hit = numbered.join(F.broadcast(taken.withColumnRenamed("bucket", "b")), (F.col("bucket") == F.col("b")) & (F.col("g") >= F.col("from")) & (F.col("g") < F.col("upto")), "left")
-    return hit.select(*blocks.columns, F.col("taken_at").alias("emitted_block"), (F.col("first") + F.col("g") - F.col("from")).cast("bigint").alias("group_no"))
+    whole = taken.select("bucket", F.explode(F.expr("sequence(`from`, upto - 1)")).alias("g"), F.col("taken_at").alias("emitted_block"), F.col("first"), F.col("from"))
+    whole = whole.select("bucket", "g", "emitted_block", (F.col("first") + F.col("g") - F.col("from")).cast("bigint").alias("group_no"))
+    # a sample's number in its bucket: those of earlier blocks, summed from the counts, and its rank in its block
+    held = counts.withColumn("held", F.sum("n").over(W.partitionBy("bucket").orderBy("block")) - F.col("n")).drop("n")
+    rank = F.row_number().over(W.partitionBy("block", "bucket").orderBy("position"))
+    numbered = blocks.join(held, ["block", "bucket"]).withColumn("g", F.floor((F.col("held") + rank - 1) / batch))
+    return numbered.join(whole, ["bucket", "g"], "left").select(*blocks.columns, "emitted_block", "group_no")
 
 
 def safe_cursors(grouped: DataFrame) -> DataFrame:
