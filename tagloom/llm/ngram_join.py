@@ -194,7 +194,7 @@ def _runs(t: Fraction):
                 yield out(2, a=fp[first[i]], b=fp[i])
             i = np.flatnonzero(new & ~light)
             x, y = np.concatenate((first[i], i - 1)), np.concatenate((i, i))
-            most = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+            most = np.minimum(n[x] - pos[x], n[y] - pos[y])
             fits = (top * n[y] <= bottom * n[x]) & (most * (top + bottom) >= top * (n[x] + n[y]))
             if fits.any():
                 x, y = fp[x[fits]], fp[y[fits]]
@@ -231,7 +231,7 @@ def _cross(t: Fraction, turn: int | None = None):
         for a in range(0, len(fp) if len(chosen) else 0, 65536):
             i, j = np.arange(a, min(a + 65536, len(fp)))[:, None], chosen[None, :]
             fits = (root[i] != root[j]) & (top * n[i] <= bottom * n[j]) & (top * n[j] <= bottom * n[i])
-            fits &= (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])) * (top + bottom) >= top * (n[i] + n[j])
+            fits &= np.minimum(n[i] - pos[i], n[j] - pos[j]) * (top + bottom) >= top * (n[i] + n[j])
             w = np.flatnonzero(fits.any(1))
             x, y = fp[i[w, 0]], fp[chosen[fits[w].argmax(1)]]
             if len(w):
@@ -250,7 +250,8 @@ def _cross(t: Fraction, turn: int | None = None):
             lo, hi = np.searchsorted(n64 * bottom, n64[i] * top), np.searchsorted(n64 * top, n64[i] * bottom, "right")
             j = np.arange(lo, hi)
             j = j[(root[j] != root[i]) & (main[j] | (j > i))]
-            most = np.minimum(pos64[i], pos64[j]) + np.minimum(n64[i] - pos64[i], n64[j] - pos64[j])
+            # in the list of their first common shingle all that they share comes from there on
+            most = np.minimum(n64[i] - pos64[i], n64[j] - pos64[j])
             j = j[most * (top + bottom) >= top * (n64[i] + n64[j])]
             # they share at most the smaller count of each part of the hash range
             most = np.minimum(parts[i], parts[j]).sum(1, dtype=np.int64)
@@ -294,7 +295,7 @@ def _cross(t: Fraction, turn: int | None = None):
                 for ab in pairs_of(fp[a:b], n[a:b], pos[a:b], root[a:b], parts[a:b]):
                     found.append(ab)
                     size += len(ab)
-                    if size > 200_000:
+                    if size > 1_000_000:
                         yield settle()
         if found:
             yield settle()
