@@ -52,7 +52,12 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
     Bit k of the words at character j of b stands for row j - tau + k of the distance matrix. The
     distance is followed down the lowest diagonal of the band to the last row, then along that row.
     """
-    m, n = F.size(a), F.size(b)
+    # names its arguments once: an expression that is used twice would be computed twice
+    let = lambda s, f: F.get(F.transform(F.array(s), f), F.lit(0))
+    return let(F.struct(a.alias("a"), b.alias("b"), F.size(a).alias("m"), F.size(b).alias("n")), lambda s: _banded(s["a"], s["b"], s["m"], s["n"], tau, let))
+
+
+def _banded(a: Column, b: Column, m: Column, n: Column, tau: int, let) -> Column:
     band = (1 << (2 * tau + 1)) - 1
 
     def step(acc: Column, j: Column) -> Column:
@@ -78,16 +83,35 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
         d = F.when(row >= 2 * tau, s["d"] + F.when(s["d0"].bitwiseAND(F.lit(1 << 2 * tau)) == 0, 1).otherwise(0)).otherwise(s["d"] + F.when(bit(s["hp"]), 1).otherwise(0) - F.when(bit(s["hn"]), 1).otherwise(0))
         return F.struct(vp.alias("vp"), low.bitwiseAND(s["hp"]).alias("vn"), d.alias("d"))
 
-    # each stage names its words once: an expression that is used twice would be computed twice
-    let = lambda s, f: F.get(F.transform(F.array(s), f), F.lit(0))
     begin = F.struct(F.lit(band & ~((1 << tau) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(tau).alias("d"))
     last = F.aggregate(F.sequence(F.lit(1), n), begin, lambda acc, j: let(let(let(step(acc, j), zero), across), down))
     return F.when(F.abs(m - n) > tau, F.lit(tau + 1)).when((n == 0) | (m < tau), F.greatest(m, n) + tau).otherwise(last["d"])
 
 
+def pieces_agree(a: Column, b: Column, tau: int) -> Column:
+    """Whether enough pieces of a stand in b near their places for an edit distance of tau.
+
+    Of 3 tau pieces an edit touches one at most, and the others move by tau places at most. The text
+    is compared here as it is, so most candidates go before characters are walked through.
+    """
+    parts = 3 * tau
+    size = F.floor(F.char_length(a) / parts).cast("int")
+
+    def stands(i: int) -> Column:
+        piece, start = F.substring(a, size * i + 1, size), size * i + 1
+        near = F.lit(False)
+        for by in sorted(range(-tau, tau + 1), key=abs):
+            near = near | (F.substring(b, start + by, size) == piece if i or by >= 0 else F.lit(False))
+        return F.when(near, 1).otherwise(0)
+
+    return sum((stands(i) for i in range(1, parts)), stands(0)) >= parts - tau
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     one, two = (texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau)
+    both = pairs.join(one, "a").join(two, "b").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau).where(pieces_agree(F.col("line_a"), F.col("line_b"), tau))
+    # few bytes, but much work for each: dealt out evenly, whatever their size
+    both = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     chars = both.select("a", "b", F.split("line_a", "").alias("x"), F.split("line_b", "").alias("y"))
     return chars.where(banded_distance(F.col("x"), F.col("y"), tau) <= tau).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
