@@ -8,6 +8,12 @@ substrings that can be a segment of a line of that length, chosen by the shifts
 (Li et al., "Pass-Join", 2011). Lines that meet at a key are compared by a banded bit-parallel edit
 distance: the band of 2 tau + 1 diagonals is one machine word for each character (Hyyrö, 2003).
 
+Two lines are also alike when few words turn one into the other: one inserted, deleted or replaced
+word for every ``SHARE`` words of the line with fewer. Such lines have a run of RUN unchanged words,
+so of every window of shingles in that run both choose the same one ("winnowing", Schleimer et al.,
+2003); the chosen shingles are keys too. Their words are written as one letter each, and the
+letters' edit distance is the words'.
+
 Equal lines are one node, found by a hash. At a key every line is first compared with one line of
 the index; only where a key's lines are then still in several components are the others compared,
 across components. So variants of one line cost a few comparisons each.
@@ -28,6 +34,12 @@ from tagloom.llm._work import stored, table
 LEAST = 20
 #: A line that makes up more than 1 / HOT of all lines is reduced to its first place before keys are written.
 HOT = 10_000
+#: Lines are alike where at most one word for so many of them differs, whatever the characters.
+SHARE = 16
+#: Words that stand unchanged side by side in alike lines: of 16 t words t differ, the other 15 t stand in t + 1 runs.
+RUN = 8
+#: Words of a shingle; a key is the least hash of the RUN - SHINGLE + 1 shingles of a run.
+SHINGLE = 4
 
 
 def segment_keys(line: Column, length: Column, tau: int) -> Column:
@@ -46,6 +58,40 @@ def segment_keys(line: Column, length: Column, tau: int) -> Column:
     return F.array(*out)
 
 
+def word_keys(words: Column) -> Column:
+    """array<struct<key, own>>: keys under which a line looks for lines that differ in words, see ``segment_keys``; none below SHARE words.
+
+    A key names a class of sizes, so that lines of very different sizes don't meet: a line is found under
+    its own class and looks there and in the class of the smallest line that may be alike.
+    """
+    let = lambda s, f: F.get(F.transform(F.array(s), f), F.lit(0))
+    size = F.size(words)
+    order = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.5))).cast("int")
+    shingles = F.transform(F.sequence(F.lit(1), size - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+    window = RUN - SHINGLE + 1
+    least = let(shingles, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - (window - 1)), lambda i: F.array_min(F.slice(g, i, window)))))
+    # one less: the logarithm may fall on either side of a whole number
+    classes = F.array_distinct(F.array(order(size), order(size - F.floor(size / SHARE) - 1)))
+    found = F.flatten(F.transform(least, lambda x: F.transform(classes, lambda c: F.struct(F.xxhash64(F.lit("words"), c, x).alias("key"), (c == order(size)).alias("own")))))
+    return F.when(size >= SHARE, found).otherwise(F.expr("cast(array() as array<struct<key:bigint,own:boolean>>)"))
+
+
+def words_alike(a: Column, b: Column) -> Column:
+    """Whether one word in SHARE of the smaller array at most is inserted, deleted or replaced between the arrays of words a and b."""
+    most = F.floor(F.least(F.size(a), F.size(b)) / SHARE).cast("int")
+    # each word that the other line lacks takes an edit
+    few = (F.abs(F.size(a) - F.size(b)) <= most) & (F.size(F.array_except(a, b)) <= most) & (F.size(F.array_except(b, a)) <= most)
+    let = lambda s, f: F.get(F.transform(F.array(s), f), F.lit(0))
+
+    def letters(words: Column, names: Column) -> Column:
+        # place among the pair's words as a code point, surrogates left out
+        code = lambda w: let(F.array_position(names, w), lambda k: F.when(k < 0xD800, k).otherwise(k + 0x800))
+        return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(code(w)), 8, "0")), "")), "UTF-32")
+
+    edits = let(F.array_distinct(F.concat(a, b)), lambda names: F.call_function("levenshtein", letters(a, names), letters(b, names), most))
+    return F.when((most > 0) & few, edits >= 0).otherwise(F.lit(False))
+
+
 def banded_distance(a: Column, b: Column, tau: int) -> Column:
     """Edit distance of the arrays of characters a and b where it is at most tau, else more than tau.
 
@@ -109,11 +155,15 @@ def pieces_agree(a: Column, b: Column, tau: int) -> Column:
 
 def _compared(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     one, two = (texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau).where(pieces_agree(F.col("line_a"), F.col("line_b"), tau))
+    near = F.when(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau, pieces_agree(F.col("line_a"), F.col("line_b"), tau)).otherwise(F.lit(False))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b", near.alias("near"))
+    worded = both.select("a", "b", F.split("line_a", " ").alias("x"), F.split("line_b", " ").alias("y"), "near").where(words_alike(F.col("x"), F.col("y"))).select("a", "b")
+    both = both.where("near")
     # few bytes, but much work for each: dealt out evenly, whatever their size
     both = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     chars = both.select("a", "b", F.split("line_a", "").alias("x"), F.split("line_b", "").alias("y"))
-    return chars.where(banded_distance(F.col("x"), F.col("y"), tau) <= tau).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    close = chars.where(banded_distance(F.col("x"), F.col("y"), tau) <= tau).select("a", "b")
+    return close.unionByName(worded).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
@@ -133,7 +183,9 @@ def repeated_lines(docs: DataFrame, tau: int = 2, least: int = LEAST) -> DataFra
     hot = firsts.where(F.col("n") > max(64, total // HOT)).select("h", "first")  # at most HOT rows
     unique = lines.join(F.broadcast(hot), "h", "left").where(F.col("first").isNull() | (F.col("first") == F.col("at")))
 
-    keys = unique.select("h", F.explode(segment_keys(F.col("line"), F.char_length("line"), tau)).alias("k")).select("h", "k.key", "k.own")
+    # split once: an array that is used twice in one expression would be made twice
+    words = F.get(F.transform(F.array(F.split("line", " ")), word_keys), F.lit(0))
+    keys = unique.select("h", F.explode(F.concat(segment_keys(F.col("line"), F.char_length("line"), tau), words)).alias("k")).select("h", "k.key", "k.own")
     w = W.partitionBy("key")
     mine = F.when(F.col("own"), F.col("h"))
     met = keys.select("key", "h", "own", F.min(mine).over(w).alias("low"), F.max(mine).over(w).alias("high"), F.min("h").over(w).alias("least"), F.max("h").over(w).alias("most"))

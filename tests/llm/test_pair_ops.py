@@ -175,6 +175,39 @@ def test_line_dedup(spark):
     assert lines.without_repeats(df.limit(0)).isEmpty()
 
 
+def test_lines_with_replaced_words(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    kept = []
+    for size in [10, 15, 16, 17, 24, 25, 31, 32, 40, 60, 100, 200, 700] * 2:
+        base = rng.choices(vocabulary, k=size)
+        kept.append(base)
+        for n in {1, 2, size // 16, size // 16 + 1}:
+            kept.append(edited(rng, base, n))
+            cut, more = list(base), list(base)
+            for _ in range(n):
+                del cut[rng.randrange(len(cut))]
+                more.insert(rng.randrange(len(more) + 1), "new")
+            kept += [cut, more]
+    distinct = sorted({" ".join(w) for w in kept})
+    u = Union()
+    for n, a in enumerate(distinct):
+        u.find(a)
+        for b in distinct[:n]:
+            x, y = a.split(" "), b.split(" ")
+            most = min(len(x), len(y)) // 16
+            if abs(len(x) - len(y)) <= max(most, 2) and len(set(x) - set(y)) <= max(most, 4):
+                if distance(x, y) <= most or (abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2):
+                    u.join(a, b)
+    first = {}
+    for i, w in enumerate(kept):
+        first.setdefault(u.find(" ".join(w)), i)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(kept)], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeats(df).collect()}
+    assert got == {i: " ".join(w) if first[u.find(" ".join(w))] == i else "" for i, w in enumerate(kept)}
+    assert sum(t == "" for t in got.values()) > 40
+
+
 def test_rows_that_repeat_are_treated_alike(spark):
     line = "a line that is long enough to count"
     df = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line)], "doc_id bigint, text string")
