@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from tagloom.llm._graph import components
 from tagloom.llm._work import stored, table
 
-#: Lines of fewer characters are left alone.
-LEAST = 20
+#: Lines of fewer characters are left alone: only empty ones.
+LEAST = 1
+#: Lines of fewer characters go only where they repeat exactly: an edit or two makes another word of a short one.
+NEAR = 20
 #: A line that makes up more than 1 / HOT of all lines is reduced to its first place before keys are written.
 HOT = 10_000
 #: Lines are alike where at most one word for so many of them differs, whatever the characters.
@@ -185,7 +187,7 @@ def repeated_lines(docs: DataFrame, tau: int = 2, least: int = LEAST) -> DataFra
 
     # split once: an array that is used twice in one expression would be made twice
     words = F.get(F.transform(F.array(F.split("line", " ")), word_keys), F.lit(0))
-    keys = unique.select("h", F.explode(F.concat(segment_keys(F.col("line"), F.char_length("line"), tau), words)).alias("k")).select("h", "k.key", "k.own")
+    keys = unique.where(F.char_length("line") >= NEAR).select("h", F.explode(F.concat(segment_keys(F.col("line"), F.char_length("line"), tau), words)).alias("k")).select("h", "k.key", "k.own")
     w = W.partitionBy("key")
     mine = F.when(F.col("own"), F.col("h"))
     met = keys.select("key", "h", "own", F.min(mine).over(w).alias("low"), F.max(mine).over(w).alias("high"), F.min("h").over(w).alias("least"), F.max("h").over(w).alias("most"))
@@ -216,8 +218,8 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = LEAST) -> DataFrame:
     """``row`` (the document as a struct), n_lines, removed and text without them, of each row of ``docs`` (doc_id, text).
 
     Lines are what stands between newlines. A line of ``least`` characters or more goes if a line
-    before it, by doc_id (null last), text hash and place, is in its class; shorter lines, empty ones
-    among them, always stay. A document all of whose lines go stays with an empty text. Rows of
+    before it, by doc_id (null last), text hash and place, is in its class; shorter lines always stay.
+    The class of a line under NEAR characters holds its exact repeats only. A document all of whose lines go stays with an empty text. Rows of
     equal doc_id and text count as one document and are treated alike. Null text stays null, with 0
     lines. An empty table gives none. Other columns stay in ``row`` untouched, whatever their names.
     """

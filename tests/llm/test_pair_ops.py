@@ -208,6 +208,12 @@ def test_lines_with_replaced_words(spark):
     assert sum(t == "" for t in got.values()) > 40
 
 
+def test_short_lines_that_repeat(spark):
+    df = spark.createDataFrame([(1, "Les.\n\nLes.\nLet.\n "), (2, "Les.\na\n\n "), (3, "a")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeats(df).collect()}
+    assert got == {1: "Les.\n\nLet.\n ", 2: "a\n", 3: ""}
+
+
 def test_rows_that_repeat_are_treated_alike(spark):
     line = "a line that is long enough to count"
     df = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line)], "doc_id bigint, text string")
