@@ -36,10 +36,11 @@ _SALTS = 64
 def sample(docs: DataFrame, label: str, chars: int, docs_each: int) -> dict[str, str]:
     """Text of each label: the documents first by hash, at most ``docs_each`` of them and ``chars`` characters.
 
+    Copies of a text count once: they go before the ranking, by a sum that needs no task to hold them all.
     Two rounds of ranking, the first inside a label's parts by hash, so that no task gets a whole label.
     """
     order = F.xxhash64("text", F.lit("sample"))
-    rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("label"), F.substring("text", 1, EACH).alias("part"), order.alias("at")).withColumn("salt", F.pmod("at", F.lit(_SALTS)))
+    rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("label"), F.substring("text", 1, EACH).alias("part"), order.alias("at")).dropDuplicates(["label", "at", "part"]).withColumn("salt", F.pmod("at", F.lit(_SALTS)))
     for keys in (["label", "salt"], ["label"]):
         rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("at", "part"))).where(F.col("rank") <= docs_each)
     out: dict[str, str] = {}

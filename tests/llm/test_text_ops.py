@@ -180,6 +180,14 @@ def test_languages_of_held_out_documents(spark):
     assert right / n > 0.97
 
 
+def test_copies_take_one_place_of_the_sample(spark):
+    texts = [f"text number {i}" for i in range(30)]
+    first = spark.createDataFrame([(t,) for t in texts], "text string").orderBy(F.xxhash64("text", F.lit("sample"))).head()["text"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts + [first] * 300)], "doc_id bigint, text string, lang string").repartition(4)
+    got = langid.sample(df, "lang", langid.CHARS, langid.DOCS)["en"]
+    assert sorted(got.strip().split("\n")) == sorted(texts)
+
+
 def test_language_of_odd_texts(docs, spark):
     train = spark.createDataFrame([(i, "the cat and the dog sat on the mat", "en") for i in range(20)] + [(i, "le chat et le chien sont sur le tapis", "fr") for i in range(20, 40)], "doc_id bigint, text string, lang string")
     model = langid.train(train)
