@@ -1,22 +1,23 @@
 """Near-duplicate lines by a segment-partition edit join, with DataFrame operations only.
 
-Two lines are alike when at most ``tau`` insertions, deletions and substitutions of characters turn
-one into the other. A line is cut into tau + 1 segments of nearly equal length; by the pigeonhole
+Lines of NEAR characters or more are compared by edit distance, in words where both have WORDS words or more, else in characters:
+
+* words: at most one word in ``share`` of the shorter line is inserted, deleted or replaced, ``most`` words at most;
+* characters: at most ``tau`` are.
+
+With a threshold of t a line is cut into t + 1 segments of nearly equal length; by the pigeonhole
 principle an alike line holds one of them unchanged, near its place. So a line writes its segments
-as index keys (segment number, line length, text) and, for each length of tau less at most, the
-substrings that can be a segment of a line of that length, chosen by the shifts that tau allows
+as index keys (segment number, line length, text) and, for each length of t less at most, the
+runs that can be a segment of a line of that length, chosen by the shifts that t allows
 (Li et al., "Pass-Join", 2011). Lines that meet at a key are compared by a banded bit-parallel edit
-distance: the band of 2 tau + 1 diagonals is one machine word for each character (Hyyrö, 2003).
-
-Two lines are also alike when few words turn one into the other: one inserted, deleted or replaced
-word for every ``SHARE`` words of the line with fewer. Such lines have a run of RUN unchanged words,
-so of every window of shingles in that run both choose the same one ("winnowing", Schleimer et al.,
-2003); the chosen shingles are keys too. Their words are written as one letter each, and the
-letters' edit distance is the words'.
+distance: the band of 2 t + 1 diagonals is one machine word for each unit (Hyyrö, 2003).
 
 Equal lines are one node, found by a hash. At a key every line is first compared with one line of
-the index; only where a key's lines are then still in several components are the others compared,
-across components. So variants of one line cost a few comparisons each.
+the index, the most frequent one where that is known; only where a key's lines are then still in
+several components are others compared, across components, and only those that share a rare token
+of the key: alike lines differ in t words (3 t runs of three characters) at most, so of the t + 1
+tokens of each that are rarest among the key's lines one is common to both. So variants of one line
+cost a few comparisons each, and lines that share a template but little else none.
 
 The classes are the connected components. Of each the first line, by doc_id and place, stays.
 """
@@ -28,70 +29,59 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.llm._graph import components
-from tagloom.llm._work import stored, table
+from tagloom.llm._work import remove, stored, table
 
 #: Lines of fewer characters are left alone: only empty ones.
 LEAST = 1
 #: Lines of fewer characters go only where they repeat exactly: an edit or two makes another word of a short one.
 NEAR = 20
+#: Lines of so many words are compared by words.
+WORDS = 10
 #: A line that makes up more than 1 / HOT of all lines is reduced to its first place before keys are written.
-HOT = 10_000
-#: Lines are alike where at most one word for so many of them differs, whatever the characters.
-SHARE = 16
-#: Words that stand unchanged side by side in alike lines: of 16 t words t differ, the other 15 t stand in t + 1 runs.
-RUN = 8
-#: Words of a shingle; a key is the least hash of the RUN - SHINGLE + 1 shingles of a run.
-SHINGLE = 4
-
-
-def segment_keys(line: Column, length: Column, tau: int) -> Column:
-    """array<struct<key, own>>: keys under which a line looks for lines of its length or up to tau less; ``own``: also those under which it is found."""
-    parts, out = tau + 1, []
-    for less in range(tau + 1):
-        other = length - less
-        base, longer = F.floor(other / parts).cast("int"), (other % parts).cast("int")
-        for i in range(parts):
-            # the last ``longer`` segments have one character more
-            start = base * i + F.greatest(F.lit(0), F.lit(i - parts) + longer)
-            size = base + (F.lit(parts - i) <= longer).cast("int")
-            for off in range(max(-i, less - (tau - i)), min(i, less + tau - i) + 1):
-                key = F.xxhash64(F.lit(i), other, F.substring(line, start + off + 1, size))
-                out.append(F.struct(key.alias("key"), F.lit(less == 0 and off == 0).alias("own")))
-    return F.array(*out)
-
-
-def word_keys(words: Column) -> Column:
-    """array<struct<key, own>>: keys under which a line looks for lines that differ in words, see ``segment_keys``; none below SHARE words.
-
-    A key names a class of sizes, so that lines of very different sizes don't meet: a line is found under
-    its own class and looks there and in the class of the smallest line that may be alike.
-    """
-    let = lambda s, f: F.get(F.transform(F.array(s), f), F.lit(0))
-    size = F.size(words)
-    order = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.5))).cast("int")
-    shingles = F.transform(F.sequence(F.lit(1), size - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
-    window = RUN - SHINGLE + 1
-    least = let(shingles, lambda g: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(g) - (window - 1)), lambda i: F.array_min(F.slice(g, i, window)))))
-    # one less: the logarithm may fall on either side of a whole number
-    classes = F.array_distinct(F.array(order(size), order(size - F.floor(size / SHARE) - 1)))
-    found = F.flatten(F.transform(least, lambda x: F.transform(classes, lambda c: F.struct(F.xxhash64(F.lit("words"), c, x).alias("key"), (c == order(size)).alias("own")))))
-    return F.when(size >= SHARE, found).otherwise(F.expr("cast(array() as array<struct<key:bigint,own:boolean>>)"))
-
-
-def words_alike(a: Column, b: Column) -> Column:
-    """Whether one word in SHARE of the smaller array at most is inserted, deleted or replaced between the arrays of words a and b."""
-    most = F.floor(F.least(F.size(a), F.size(b)) / SHARE).cast("int")
-    # each word that the other line lacks takes an edit
-    few = (F.abs(F.size(a) - F.size(b)) <= most) & (F.size(F.array_except(a, b)) <= most) & (F.size(F.array_except(b, a)) <= most)
-    let = lambda s, f: F.get(F.transform(F.array(s), f), F.lit(0))
+HOT = 100_000
+#: Characters of a token of lines that are compared by characters.
+GRAM = 3
+
+
+def _let(s: Column, f) -> Column:
+    """f(s), with s computed once: an expression that is used twice would be computed twice."""
+    return F.get(F.transform(F.array(s), f), F.lit(0))
+
 
-    def letters(words: Column, names: Column) -> Column:
-        # place among the pair's words as a code point, surrogates left out
-        code = lambda w: let(F.array_position(names, w), lambda k: F.when(k < 0xD800, k).otherwise(k + 0x800))
-        return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(code(w)), 8, "0")), "")), "UTF-32")
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that later expressions read instead of computing it anew."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
-    edits = let(F.array_distinct(F.concat(a, b)), lambda names: F.call_function("levenshtein", letters(a, names), letters(b, names), most))
-    return F.when((most > 0) & few, edits >= 0).otherwise(F.lit(False))
+
+def _div(a: Column, b: Column | int) -> Column:
+    return ((a - a % b) / b).cast("int")
+
+
+def segment_keys(lines: DataFrame, share: int, most: int, tau: int) -> DataFrame:
+    """id, key and own of ``lines`` (id, line): keys under which a line looks for lines of its length and up to the threshold less; ``own``: also those under which it is found.
+
+    The lowest bit of a key says whether it is one of words. A line of WORDS words or a little more may
+    be compared with one of fewer, so it writes keys of both kinds.
+    """
+    words = _once(lines, "words", F.split("line", " "))
+    n, chars = F.size("words"), F.split("line", "")
+    unit = lambda worded, u: F.struct(F.lit(worded).alias("worded"), u.alias("u"))
+    both = F.when(n >= WORDS + tau, F.array(unit(1, F.col("words")))).when(n >= WORDS, F.array(unit(1, F.col("words")), unit(0, chars))).otherwise(F.array(unit(0, chars)))
+    units = words.select("id", F.explode(both).alias("x")).select("id", "x.worded", "x.u", F.size("x.u").alias("n"))
+    units = units.where((F.col("worded") == 1) | (F.col("n") >= NEAR))
+    limit = lambda m: F.when(F.col("worded") == 1, F.least(F.lit(most), _div(m, share))).otherwise(tau)
+    at = units.select("*", F.explode(F.sequence(F.lit(0), limit(F.col("n")))).alias("less"))
+    at = at.withColumn("m", F.col("n") - F.col("less")).withColumn("t", limit(F.col("m")))
+    at = at.where((F.col("less") <= F.col("t")) & (F.col("m") >= F.when(F.col("worded") == 1, WORDS).otherwise(NEAR)))
+    at = at.withColumn("base", _div(F.col("m"), F.col("t") + 1)).withColumn("longer", F.col("m") % (F.col("t") + 1))
+    at = at.select("*", F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i"))
+    t, less, base, longer, i = (F.col(c) for c in ("t", "less", "base", "longer", "i"))
+    # the last ``longer`` segments have one unit more
+    at = at.withColumn("start", base * i + F.greatest(F.lit(0), longer - (t + 1 - i))).withColumn("size", base + F.when(t + 1 - i <= longer, 1).otherwise(0))
+    at = at.select("*", F.explode(F.sequence(F.greatest(-i, less - (t - i)), F.least(i, less + t - i))).alias("off"))
+    key = F.xxhash64("worded", "i", "m", F.slice("u", F.col("start") + F.col("off") + 1, F.col("size")))
+    key = F.shiftleft(key, 1).bitwiseOR(F.col("worded").cast("long"))
+    return at.select("id", key.alias("key"), ((less == 0) & (F.col("off") == 0)).alias("own"))
 
 
 def banded_distance(a: Column, b: Column, tau: int) -> Column:
@@ -100,9 +90,7 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
     Bit k of the words at character j of b stands for row j - tau + k of the distance matrix. The
     distance is followed down the lowest diagonal of the band to the last row, then along that row.
     """
-    # names its arguments once: an expression that is used twice would be computed twice
-    let = lambda s, f: F.get(F.transform(F.array(s), f), F.lit(0))
-    return let(F.struct(a.alias("a"), b.alias("b"), F.size(a).alias("m"), F.size(b).alias("n")), lambda s: _banded(s["a"], s["b"], s["m"], s["n"], tau, let))
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda s: _banded(s["a"], s["b"], F.size(s["a"]), F.size(s["b"]), tau, _let))
 
 
 def _banded(a: Column, b: Column, m: Column, n: Column, tau: int, let) -> Column:
@@ -155,66 +143,106 @@ def pieces_agree(a: Column, b: Column, tau: int) -> Column:
     return sum((stands(i) for i in range(1, parts)), stands(0)) >= parts - tau
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
-    one, two = (texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    near = F.when(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau, pieces_agree(F.col("line_a"), F.col("line_b"), tau)).otherwise(F.lit(False))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b", near.alias("near"))
-    worded = both.select("a", "b", F.split("line_a", " ").alias("x"), F.split("line_b", " ").alias("y"), "near").where(words_alike(F.col("x"), F.col("y"))).select("a", "b")
-    both = both.where("near")
+def _compared(pairs: DataFrame, texts: DataFrame, share: int, most: int, tau: int) -> DataFrame:
+    """(u, v): the alike ones of the pairs (a, b) of ids."""
+    one, two = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b", "words_a", "words_b")
     # few bytes, but much work for each: dealt out evenly, whatever their size
     both = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    chars = both.select("a", "b", F.split("line_a", "").alias("x"), F.split("line_b", "").alias("y"))
-    close = chars.where(banded_distance(F.col("x"), F.col("y"), tau) <= tau).select("a", "b")
-    return close.unionByName(worded).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    worded = (F.col("words_a") >= WORDS) & (F.col("words_b") >= WORDS)
+    spoken = both.where(worded & (F.abs(F.col("words_a") - F.col("words_b")) <= most))
+    spoken = _once(spoken, "s", F.struct(F.split("line_a", " ").alias("x"), F.split("line_b", " ").alias("y"), F.least(F.lit(most), _div(F.least("words_a", "words_b"), share)).alias("t")))
+    x, y, t = (F.col(f"s.{c}") for c in "xyt")
+    # each word that the other line lacks takes an edit
+    spoken = spoken.where((F.abs(F.size(x) - F.size(y)) <= t) & (F.size(F.array_except(x, y)) <= t) & (F.size(F.array_except(y, x)) <= t))
+    spoken = spoken.where(banded_distance(x, y, most) <= t).select("a", "b")
+    spelt = both.where(~worded & (F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau) & (F.char_length("line_a") >= NEAR) & (F.char_length("line_b") >= NEAR) & pieces_agree(F.col("line_a"), F.col("line_b"), tau))
+    spelt = spelt.where(banded_distance(F.split("line_a", ""), F.split("line_b", ""), tau) <= tau).select("a", "b")
+    return spoken.unionByName(spelt).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def repeated_lines(docs: DataFrame, tau: int = 2, least: int = LEAST) -> DataFrame:
+def _across(met: DataFrame, roots: DataFrame, texts: DataFrame, share: int, most: int, tau: int) -> DataFrame:
+    """Pairs (a, b) of lines of a key that are in different components and share one of the tokens rarest in it."""
+    # components of a key: those of its lines and of the line they were compared with; one value says nothing
+    w = W.partitionBy("key")
+    rooted = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "own", F.coalesce("root", "id").alias("root"))
+    several = rooted.withColumn("one", F.min("root").over(w)).withColumn("other", F.max("root").over(w)).where("one < other").select("key", "id", "own", "root")
+    several = stored(several, "lines-several")
+    grams = _let(F.col("line"), lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s) - (GRAM - 1)), lambda i: F.substring(s, i, F.lit(GRAM))))
+    worded = F.col("key").bitwiseAND(F.lit(1)) == 1
+    lines = several.join(texts, "id")
+    gone = F.when(worded, F.least(F.lit(most), _div(F.col("words"), share))).otherwise(GRAM * tau)
+    lines = _once(lines.withColumn("gone", gone), "tokens", F.array_distinct(F.when(worded, F.split("line", " ")).otherwise(grams)))
+    # all tokens of lines with few different ones: their rarest may all have gone
+    lines = lines.select("key", "id", "own", "root", F.when(F.size("tokens") <= 2 * F.col("gone"), F.size("tokens")).otherwise(F.col("gone") + 1).alias("first"), F.explode("tokens").alias("token"))
+    lines = stored(lines.select("key", "id", "own", "root", "first", F.xxhash64("token").alias("token")), "lines-tokens")
+    often = lines.groupBy("key", "token").agg(F.count(F.lit(1)).alias("n"))
+    ranked = lines.join(often.where("n > 1"), ["key", "token"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("key", "id").orderBy("n", "token"))).where("rank <= first and n > 1")
+    ranked = stored(ranked.select("key", "token", "id", "own", "root"), "lines-ranked")
+    # the component of most lines isn't joined with itself
+    counts = ranked.groupBy("key", "token", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("key", "token").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    told = ranked.join(main, ["key", "token"])
+    few = told.where("root <> main").select("key", "token", F.col("id").alias("mate"), F.col("own").alias("mate_own"), F.col("root").alias("mate_root"))
+    met_again = told.join(few, ["key", "token"]).where("root <> mate_root and (own or mate_own)").select(*_pairs(F.col("id"), F.col("mate"))).distinct()
+    return met_again, (several, lines, ranked)
+
+
+def repeated_lines(docs: DataFrame, share: int = 10, most: int = 3, tau: int = 2, least: int = LEAST) -> DataFrame:
     """doc, text_hash and removed (array of line, first_doc, first_line) of the documents that lose lines.
 
-    doc is the doc_id, the largest long for null; documents are told apart by doc_id and text.
+    doc is the doc_id, null as it is; documents are told apart by doc_id and text.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     lines = docs.select("doc", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.char_length("line") >= least)
-    lines = lines.select(F.xxhash64("line").alias("h"), F.struct("doc", "text_hash", "pos").alias("at"), "line")
-    firsts = stored(lines.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "lines-first")
+    # null doc_ids come last: a place begins with whether there is none
+    lines = lines.select(F.xxhash64("line").alias("h"), F.struct(F.col("doc").isNull().alias("nameless"), "doc", "text_hash", "pos").alias("at"), "line")
+    counted = lines.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    # ids order lines: the frequent ones come first, by their number's logarithm; each of the others has its hash
+    often = F.floor(F.log2("n")).cast("int")
+    firsts = stored(counted, "lines-first")
     total = firsts.agg(F.sum("n")).head()[0] or 0
-    hot = firsts.where(F.col("n") > max(64, total // HOT)).select("h", "first")  # at most HOT rows
+    bound = max(8, total // HOT)
+    plain = F.when(F.shiftright("h", 56) == -128, F.col("h").bitwiseXOR(F.lit(-(2**63)))).otherwise(F.col("h"))
+    named = F.lit(-(2**63)).bitwiseOR(F.shiftleft((63 - often).cast("long"), 50)).bitwiseOR(F.col("h").bitwiseAND(F.lit(2**50 - 1)))
+    firsts = firsts.withColumn("id", F.when(F.col("n") > bound, named).otherwise(plain))
+    hot = firsts.where(F.col("n") > bound).select("h", "first", F.col("id").alias("hot_id"))  # at most HOT rows
     unique = lines.join(F.broadcast(hot), "h", "left").where(F.col("first").isNull() | (F.col("first") == F.col("at")))
+    keys = segment_keys(unique.where(F.char_length("line") >= NEAR).select(F.coalesce("hot_id", plain).alias("id"), "line"), share, most, tau)
 
-    # split once: an array that is used twice in one expression would be made twice
-    words = F.get(F.transform(F.array(F.split("line", " ")), word_keys), F.lit(0))
-    keys = unique.where(F.char_length("line") >= NEAR).select("h", F.explode(F.concat(segment_keys(F.col("line"), F.char_length("line"), tau), words)).alias("k")).select("h", "k.key", "k.own")
     w = W.partitionBy("key")
-    mine = F.when(F.col("own"), F.col("h"))
-    met = keys.select("key", "h", "own", F.min(mine).over(w).alias("low"), F.max(mine).over(w).alias("high"), F.min("h").over(w).alias("least"), F.max("h").over(w).alias("most"))
-    met = stored(met.where("low is not null and least < most").select("key", "h", "own", "low", "high").distinct(), "lines-met")
-
-    star = stored(met.where("h <> low").select(*_pairs(F.col("h"), F.col("low"))).distinct(), "lines-pairs")
-    wanted = met.select("h").distinct()
-    places = firsts.join(wanted, "h", "left_semi").select("h", "first.doc", "first.text_hash", "first.pos")
-    texts = stored(docs.join(places, ["doc", "text_hash"]).select("h", F.get(F.split("text", "\n", -1), F.col("pos")).alias("line")).dropDuplicates(["h"]), "lines-texts")
-    links = stored(_compared(star, texts, tau), "lines-links")
+    met = keys.withColumn("low", F.min(F.when(F.col("own"), F.col("id"))).over(w)).withColumn("least", F.min("id").over(w)).withColumn("top", F.max("id").over(w))
+    met = stored(met.where("low is not null and least < top").select("key", "id", "own", "low").distinct(), "lines-met")
+
+    star = stored(met.where("id <> low").select(*_pairs(F.col("id"), F.col("low"))).distinct(), "lines-pairs")
+    places = firsts.join(met.select("id").distinct(), "id", "left_semi").groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("id", "first.pos")).alias("places"))
+    # a document's lines are told apart once, whatever their number
+    found = _let(F.split("text", "\n", -1), lambda x: F.transform("places", lambda p: F.struct(p["id"].alias("id"), F.get(x, p["pos"]).alias("line"))))
+    places = places.withColumnRenamed("doc", "doc_").withColumnRenamed("text_hash", "hash_")
+    texts = docs.join(places, docs["doc"].eqNullSafe(places["doc_"]) & (docs["text_hash"] == places["hash_"])).select(F.explode(found).alias("p")).select("p.id", "p.line", F.size(F.split("p.line", " ")).alias("words"))
+    texts = stored(texts.dropDuplicates(["id"]), "lines-texts")
+    links = stored(_compared(star, texts, share, most, tau), "lines-links")
     roots = stored(components(links), "lines-roots")
-    several = met.where("low < high").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "own", F.coalesce("root", "h").alias("root"))
-    several = several.withColumn("one", F.min("root").over(w)).withColumn("other", F.max("root").over(w)).where("one < other").select("key", "h", "own", "root")
-    mates = several.where("own").select("key", F.col("h").alias("mate"), F.col("root").alias("mate_root"))
-    cross = several.join(mates, "key").where("root <> mate_root").select(*_pairs(F.col("h"), F.col("mate"))).distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(_compared(cross, texts, tau), "lines-more")
+    cross, spent = _across(met, roots, texts, share, most, tau)
+    more = stored(_compared(cross.join(star, ["a", "b"], "left_anti"), texts, share, most, tau), "lines-more")
+    remove(spark, met, star, texts, links, *spent)
     if not more.isEmpty():
         roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "lines-roots")
 
-    named = firsts.join(roots, F.col("h") == F.col("node"), "left").where("n > 1 or root is not null").select("h", "first", F.coalesce("root", "h").alias("root"))
-    keep = named.groupBy("root").agg(F.min("first").alias("keep"))
-    keep = stored(named.join(keep, "root").select("h", "keep"), "lines-keep")
+    grouped = firsts.join(roots, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("h", "first", F.coalesce("root", "id").alias("root"))
+    keep = grouped.groupBy("root").agg(F.min("first").alias("keep"))
+    keep = stored(grouped.join(keep, "root").select("h", "keep"), "lines-keep")
     gone = lines.select("h", "at").join(keep, "h").where("at <> keep")
     return gone.groupBy("at.doc", "at.text_hash").agg(F.array_sort(F.collect_list(F.struct(F.col("at.pos").alias("line"), F.col("keep.doc").alias("first_doc"), F.col("keep.pos").alias("first_line")))).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, tau: int = 2, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, share: int = 10, most: int = 3, tau: int = 2, least: int = LEAST) -> DataFrame:
     """``row`` (the document as a struct), n_lines, removed and text without them, of each row of ``docs`` (doc_id, text).
 
     Lines are what stands between newlines. A line of ``least`` characters or more goes if a line
@@ -224,19 +252,19 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = LEAST) -> DataFrame:
     lines. An empty table gives none. Other columns stay in ``row`` untouched, whatever their names.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    gone = repeated_lines(docs, tau, least)
-    keyed = docs.select(row.alias("row")).withColumn("doc", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("text_hash", F.xxhash64("row.text"))
-    joined = keyed.join(gone, ["doc", "text_hash"], "left")
-    lines = F.split("row.text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("removed", lambda r: r["line"]))
-    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    count = F.when(F.col("row.text").isNotNull(), F.size(lines)).otherwise(0)
+    gone = repeated_lines(docs, share, most, tau, least).withColumnRenamed("doc", "doc_").withColumnRenamed("text_hash", "hash_")
+    keyed = docs.select(row.alias("row")).withColumn("doc", F.col("row.doc_id").cast("long")).withColumn("text_hash", F.xxhash64("row.text"))
+    # a table of what goes in each partition, so that whole texts aren't sorted
+    joined = keyed.join(gone.hint("shuffle_hash"), keyed["doc"].eqNullSafe(gone["doc_"]) & (keyed["text_hash"] == gone["hash_"]), "left")
+    count = F.when(F.col("row.text").isNotNull(), F.char_length("row.text") - F.char_length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    kept = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.transform("removed", lambda r: r["line"])), lambda i: F.get(x, i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(_let(F.split("row.text", "\n", -1), kept))
     return joined.select("row", count.cast("long").alias("n_lines"), F.coalesce("removed", F.expr("cast(array() as array<struct<line:int,first_doc:bigint,first_line:int>>)")).alias("removed"), text.alias("text"))
 
 
-def without_repeats(docs: DataFrame, tau: int = 2, least: int = LEAST) -> DataFrame:
+def without_repeats(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` with their columns; text without repeated lines, n_chars (if there is such a column) its length."""
-    done = dedup_lines(docs, tau, least)
+    done = dedup_lines(docs, **how)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))}
     return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

@@ -144,33 +144,47 @@ def test_banded_distance(spark):
         assert all((r["d"] if r["d"] <= tau else None) == (d if (d := distance(r["a"], r["b"])) <= tau else None) for r in got if len(r["a"]) >= tau and r["b"])
 
 
+def alike(a, b):
+    """The relation of the line operator, by its definition."""
+    x, y = a.split(" "), b.split(" ")
+    few = min(len(x), len(y))
+    if min(len(a), len(b)) < lines.NEAR:
+        return False
+    if few >= lines.WORDS:
+        most = min(3, few // 10)
+        return abs(len(x) - len(y)) <= most and len(set(x) - set(y)) <= most and distance(x, y) <= most
+    return abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2
+
+
+def deduplicated(docs):
+    """Texts without the lines that are alike to, or linked with, a line before; by all pairs."""
+    places = [(i, k, line) for i, t in docs.items() if t is not None for k, line in enumerate(t.split("\n")) if line]
+    distinct, u, first = sorted({p[2] for p in places}), Union(), {}
+    for n, a in enumerate(distinct):
+        u.find(a)
+        for b in distinct[:n]:
+            if alike(a, b):
+                u.join(a, b)
+    for i, k, line in sorted(places, key=lambda p: (p[0] is None, p[0], p[1])):
+        first.setdefault(u.find(line), (i, k))
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x or first[u.find(x)] == (i, k)) for i, t in docs.items()}
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
-    known = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 60))) for _ in range(25)]
+    known = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 90))) for _ in range(25)]
 
     def vary(line):
         line = list(line)
         for _ in range(rng.choice([0, 0, 1, 2, 3])):
-            line[rng.randrange(len(line))] = rng.choice("xyz")
+            line[rng.randrange(len(line))] = rng.choice("xyz ")
         return "".join(line)
 
-    docs = {i: "\n".join(rng.choice([vary(rng.choice(known)), "short", "", "a line of its own " + str(rng.random())]) for _ in range(rng.randint(1, 9))) for i in range(60)}
-    docs |= {60: None, 61: "", 62: known[0], 63: "é" * 30 + "\n" + "é" * 29 + "è"}
-    places = [(i, k, line) for i, t in docs.items() if t is not None for k, line in enumerate(t.split("\n")) if len(line) >= lines.LEAST]
-    distinct = sorted({p[2] for p in places})
-    u = Union()
-    for n, a in enumerate(distinct):
-        u.find(a)
-        for b in distinct[:n]:
-            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
-                u.join(a, b)
-    first = {}
-    for i, k, line in places:
-        first.setdefault(u.find(line), (i, k))
-    want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < lines.LEAST or first[u.find(x)] == (i, k)) for i, t in docs.items()}
+    docs = {i: "\n".join(rng.choice([vary(rng.choice(known)), "short", "", "a line of its own " + str(rng.random())]) for _ in range(rng.randint(1, 9))) for i in range(90)}
+    docs |= {90: None, 91: "", 92: known[0], 93: "é" * 30 + "\n" + "é" * 29 + "è", 94: " ".join("abcdefghi") + " jklm", 95: " ".join("abcdefghi") + "jklm"}
     df = spark.createDataFrame([(i, t, "en", "s", 1, 2, 3, 4, 5, 6) for i, t in docs.items()], EXTRA).repartition(4)
     got = lines.without_repeats(df).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert {r["doc_id"]: r["text"] for r in got} == deduplicated(docs)
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) and (r["row"], r["key"], r["h"]) == (5, 2, 3) for r in got)
     assert lines.without_repeats(df.limit(0)).isEmpty()
 
@@ -179,33 +193,44 @@ def test_lines_with_replaced_words(spark):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
     kept = []
-    for size in [10, 15, 16, 17, 24, 25, 31, 32, 40, 60, 100, 200, 700] * 2:
+    for size in [9, 10, 11, 12, 15, 19, 20, 25, 29, 30, 31, 40, 60, 100, 200, 700] * 2:
         base = rng.choices(vocabulary, k=size)
         kept.append(base)
-        for n in {1, 2, size // 16, size // 16 + 1}:
+        for n in {1, 2, 3, 4}:
             kept.append(edited(rng, base, n))
             cut, more = list(base), list(base)
             for _ in range(n):
                 del cut[rng.randrange(len(cut))]
                 more.insert(rng.randrange(len(more) + 1), "new")
             kept += [cut, more]
-    distinct = sorted({" ".join(w) for w in kept})
-    u = Union()
-    for n, a in enumerate(distinct):
-        u.find(a)
-        for b in distinct[:n]:
-            x, y = a.split(" "), b.split(" ")
-            most = min(len(x), len(y)) // 16
-            if abs(len(x) - len(y)) <= max(most, 2) and len(set(x) - set(y)) <= max(most, 4):
-                if distance(x, y) <= most or (abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2):
-                    u.join(a, b)
-    first = {}
-    for i, w in enumerate(kept):
-        first.setdefault(u.find(" ".join(w)), i)
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(kept)], "doc_id bigint, text string").repartition(4)
+    kept += [["a"] * n for n in (10, 11, 12, 30, 33, 40)]
+    docs = {i: " ".join(w) for i, w in enumerate(kept)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4)
     got = {r["doc_id"]: r["text"] for r in lines.without_repeats(df).collect()}
-    assert got == {i: " ".join(w) if first[u.find(" ".join(w))] == i else "" for i, w in enumerate(kept)}
-    assert sum(t == "" for t in got.values()) > 40
+    assert got == deduplicated(docs)
+    assert sum(t == "" for t in got.values()) > 100
+
+
+def test_lines_of_a_template(spark, monkeypatch):
+    """Lines that share segments but aren't alike aren't compared, and those that are still meet."""
+    rng = random.Random(12)
+    base = [f"word{i}" for i in range(30)]
+
+    def of_template(count):
+        out = list(base)
+        for k in rng.sample(range(30), count):
+            out[k] = f"c{rng.randrange(10**7)}"
+        return out
+
+    kept = [of_template(rng.choice([6, 6, 6, 7, 9])) for _ in range(300)]
+    kept += [edited(rng, rng.choice(kept), rng.choice([1, 2, 3, 4])) for _ in range(60)]
+    docs = {i: " ".join(w) for i, w in enumerate(kept)} | {1000 + i: f"Order {rng.randrange(10**9, 10**10)} has been sent" for i in range(150)}
+    compared = []
+    real = lines._compared
+    monkeypatch.setattr(lines, "_compared", lambda pairs, *a: (compared.append(pairs.count()), real(pairs, *a))[1])
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4)
+    assert {r["doc_id"]: r["text"] for r in lines.without_repeats(df).collect()} == deduplicated(docs)
+    assert sum(compared) < 10 * len(docs)
 
 
 def test_short_lines_that_repeat(spark):
@@ -216,8 +241,9 @@ def test_short_lines_that_repeat(spark):
 
 def test_rows_that_repeat_are_treated_alike(spark):
     line = "a line that is long enough to count"
-    df = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line)], "doc_id bigint, text string")
-    assert sorted((str(r["doc_id"]), r["text"]) for r in lines.without_repeats(df).collect()) == [("1", line), ("1", line), ("2", ""), ("None", "")]
+    df = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line), (2**63 - 1, line + "\nhere alone"), (None, "here alone")], "doc_id bigint, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in lines.without_repeats(df).collect())
+    assert got == [("1", line), ("1", line), ("2", ""), (str(2**63 - 1), "here alone"), ("None", ""), ("None", "")]
 
 
 def test_mix_meets_its_targets(spark):
