@@ -143,20 +143,39 @@ def pieces_agree(a: Column, b: Column, tau: int) -> Column:
     return sum((stands(i) for i in range(1, parts)), stands(0)) >= parts - tau
 
 
+def _grams(line: Column) -> Column:
+    return _let(line, lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s) - (GRAM - 1)), lambda i: F.substring(s, i, F.lit(GRAM))))
+
+
+def _parity(tokens: Column) -> Column:
+    """struct<p, q>: for each of 128 parts of the hash range whether an odd number of the distinct ``tokens`` falls into it.
+
+    Two sets differ in at least as many tokens as their parities do, whatever they have in common.
+    """
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    fold = lambda hashes, part: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.when(h.bitwiseAND(F.lit(64)) == part, bit(h)).otherwise(F.lit(0).cast("long"))))
+    return _let(F.transform(F.array_distinct(tokens), lambda x: F.xxhash64(x)), lambda hashes: F.struct(fold(hashes, 0).alias("p"), fold(hashes, 64).alias("q")))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a["p"].bitwiseXOR(b["p"])) + F.bit_count(a["q"].bitwiseXOR(b["q"]))
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, share: int, most: int, tau: int) -> DataFrame:
     """(u, v): the alike ones of the pairs (a, b) of ids."""
-    one, two = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b", "words_a", "words_b")
+    one, two = (texts.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("line", "words", "by_word", "by_gram"))) for c in "ab")
+    worded = (F.col("words_a") >= WORDS) & (F.col("words_b") >= WORDS)
+    t = F.least(F.lit(most), _div(F.least("words_a", "words_b"), share))
+    # each word that the other line lacks takes an edit, and so do three runs of characters
+    can = F.when(worded, (F.abs(F.col("words_a") - F.col("words_b")) <= t) & (_apart(F.col("by_word_a"), F.col("by_word_b")) <= 2 * t)).otherwise(_apart(F.col("by_gram_a"), F.col("by_gram_b")) <= 2 * GRAM * tau)
+    both = pairs.join(one, "a").join(two.withColumnRenamed("b", "b_"), (F.col("b") == F.col("b_")) & can).select("a", "b", "line_a", "line_b", worded.alias("worded"), t.alias("t"))
     # few bytes, but much work for each: dealt out evenly, whatever their size
     both = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    worded = (F.col("words_a") >= WORDS) & (F.col("words_b") >= WORDS)
-    spoken = both.where(worded & (F.abs(F.col("words_a") - F.col("words_b")) <= most))
-    spoken = _once(spoken, "s", F.struct(F.split("line_a", " ").alias("x"), F.split("line_b", " ").alias("y"), F.least(F.lit(most), _div(F.least("words_a", "words_b"), share)).alias("t")))
-    x, y, t = (F.col(f"s.{c}") for c in "xyt")
-    # each word that the other line lacks takes an edit
-    spoken = spoken.where((F.abs(F.size(x) - F.size(y)) <= t) & (F.size(F.array_except(x, y)) <= t) & (F.size(F.array_except(y, x)) <= t))
-    spoken = spoken.where(banded_distance(x, y, most) <= t).select("a", "b")
-    spelt = both.where(~worded & (F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau) & (F.char_length("line_a") >= NEAR) & (F.char_length("line_b") >= NEAR) & pieces_agree(F.col("line_a"), F.col("line_b"), tau))
+    spoken = _once(both.where("worded"), "s", F.struct(F.split("line_a", " ").alias("x"), F.split("line_b", " ").alias("y")))
+    x, y = F.col("s.x"), F.col("s.y")
+    spoken = spoken.where((F.size(F.array_except(x, y)) <= F.col("t")) & (F.size(F.array_except(y, x)) <= F.col("t")))
+    spoken = spoken.where(banded_distance(x, y, most) <= F.col("t")).select("a", "b")
+    spelt = both.where(~F.col("worded") & (F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau) & pieces_agree(F.col("line_a"), F.col("line_b"), tau))
     spelt = spelt.where(banded_distance(F.split("line_a", ""), F.split("line_b", ""), tau) <= tau).select("a", "b")
     return spoken.unionByName(spelt).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -172,25 +191,23 @@ def _across(met: DataFrame, roots: DataFrame, texts: DataFrame, share: int, most
     rooted = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "own", F.coalesce("root", "id").alias("root"))
     several = rooted.withColumn("one", F.min("root").over(w)).withColumn("other", F.max("root").over(w)).where("one < other").select("key", "id", "own", "root")
     several = stored(several, "lines-several")
-    grams = _let(F.col("line"), lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s) - (GRAM - 1)), lambda i: F.substring(s, i, F.lit(GRAM))))
     worded = F.col("key").bitwiseAND(F.lit(1)) == 1
-    lines = several.join(texts, "id")
-    gone = F.when(worded, F.least(F.lit(most), _div(F.col("words"), share))).otherwise(GRAM * tau)
-    lines = _once(lines.withColumn("gone", gone), "tokens", F.array_distinct(F.when(worded, F.split("line", " ")).otherwise(grams)))
-    # all tokens of lines with few different ones: their rarest may all have gone
-    lines = lines.select("key", "id", "own", "root", F.when(F.size("tokens") <= 2 * F.col("gone"), F.size("tokens")).otherwise(F.col("gone") + 1).alias("first"), F.explode("tokens").alias("token"))
-    lines = stored(lines.select("key", "id", "own", "root", "first", F.xxhash64("token").alias("token")), "lines-tokens")
-    often = lines.groupBy("key", "token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = lines.join(often.where("n > 1"), ["key", "token"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    lines = several.join(texts, "id").withColumn("differ", F.when(worded, F.least(F.lit(most), _div(F.col("words"), share))).otherwise(GRAM * tau))
+    lines = _once(lines.withColumn("parity", F.when(worded, F.col("by_word")).otherwise(F.col("by_gram"))), "tokens", F.array_distinct(F.when(worded, F.split("line", " ")).otherwise(_grams(F.col("line")))))
+    # all tokens of lines with few different ones: their rarest may all be other ones
+    first = F.when(F.size("tokens") <= 2 * F.col("differ"), F.size("tokens")).otherwise(F.col("differ") + 1)
+    lines = lines.select("key", "id", "own", "root", "differ", "parity", first.alias("first"), F.explode("tokens").alias("token")).withColumn("token", F.xxhash64("token"))
+    ranked = lines.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key", "token")))
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("key", "id").orderBy("n", "token"))).where("rank <= first and n > 1")
-    ranked = stored(ranked.select("key", "token", "id", "own", "root"), "lines-ranked")
+    ranked = stored(ranked.select("key", "token", "id", "own", "root", "differ", "parity"), "lines-ranked")
     # the component of most lines isn't joined with itself
     counts = ranked.groupBy("key", "token", "root").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("key", "token").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     told = ranked.join(main, ["key", "token"])
-    few = told.where("root <> main").select("key", "token", F.col("id").alias("mate"), F.col("own").alias("mate_own"), F.col("root").alias("mate_root"))
-    met_again = told.join(few, ["key", "token"]).where("root <> mate_root and (own or mate_own)").select(*_pairs(F.col("id"), F.col("mate"))).distinct()
-    return met_again, (several, lines, ranked)
+    few = told.where("root <> main").select("key", "token", F.col("id").alias("mate"), F.col("own").alias("mate_own"), F.col("root").alias("mate_root"), F.col("differ").alias("mate_differ"), F.col("parity").alias("mate_parity"))
+    near = _apart(F.col("parity"), F.col("mate_parity")) <= 2 * F.least("differ", "mate_differ")
+    cross = told.join(few, ["key", "token"]).where((F.col("root") != F.col("mate_root")) & (F.col("own") | F.col("mate_own")) & near).select(*_pairs(F.col("id"), F.col("mate"))).distinct()
+    return cross, (several, ranked)
 
 
 def repeated_lines(docs: DataFrame, share: int = 10, most: int = 3, tau: int = 2, least: int = LEAST) -> DataFrame:
@@ -203,7 +220,8 @@ def repeated_lines(docs: DataFrame, share: int = 10, most: int = 3, tau: int = 2
     lines = docs.select("doc", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.char_length("line") >= least)
     # null doc_ids come last: a place begins with whether there is none
     lines = lines.select(F.xxhash64("line").alias("h"), F.struct(F.col("doc").isNull().alias("nameless"), "doc", "text_hash", "pos").alias("at"), "line")
-    counted = lines.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    every = stored(lines.select("h", "at"), "lines-places")
+    counted = every.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     # ids order lines: the frequent ones come first, by their number's logarithm; each of the others has its hash
     often = F.floor(F.log2("n")).cast("int")
     firsts = stored(counted, "lines-first")
@@ -225,8 +243,9 @@ def repeated_lines(docs: DataFrame, share: int = 10, most: int = 3, tau: int = 2
     # a document's lines are told apart once, whatever their number
     found = _let(F.split("text", "\n", -1), lambda x: F.transform("places", lambda p: F.struct(p["id"].alias("id"), F.get(x, p["pos"]).alias("line"))))
     places = places.withColumnRenamed("doc", "doc_").withColumnRenamed("text_hash", "hash_")
-    texts = docs.join(places, docs["doc"].eqNullSafe(places["doc_"]) & (docs["text_hash"] == places["hash_"])).select(F.explode(found).alias("p")).select("p.id", "p.line", F.size(F.split("p.line", " ")).alias("words"))
-    texts = stored(texts.dropDuplicates(["id"]), "lines-texts")
+    texts = docs.join(places, docs["doc"].eqNullSafe(places["doc_"]) & (docs["text_hash"] == places["hash_"])).select(F.explode(found).alias("p")).select("p.id", "p.line").dropDuplicates(["id"])
+    texts = texts.select("id", "line", F.size(F.split("line", " ")).alias("words"), _parity(F.split("line", " ")).alias("by_word"))
+    texts = stored(texts.withColumn("by_gram", F.when(F.col("words") < WORDS + tau, _parity(_grams(F.col("line"))))), "lines-texts")
     links = stored(_compared(star, texts, share, most, tau), "lines-links")
     roots = stored(components(links), "lines-roots")
     cross, spent = _across(met, roots, texts, share, most, tau)
@@ -238,7 +257,7 @@ def repeated_lines(docs: DataFrame, share: int = 10, most: int = 3, tau: int = 2
     grouped = firsts.join(roots, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("h", "first", F.coalesce("root", "id").alias("root"))
     keep = grouped.groupBy("root").agg(F.min("first").alias("keep"))
     keep = stored(grouped.join(keep, "root").select("h", "keep"), "lines-keep")
-    gone = lines.select("h", "at").join(keep, "h").where("at <> keep")
+    gone = every.join(keep, "h").where("at <> keep")
     return gone.groupBy("at.doc", "at.text_hash").agg(F.array_sort(F.collect_list(F.struct(F.col("at.pos").alias("line"), F.col("keep.doc").alias("first_doc"), F.col("keep.pos").alias("first_line")))).alias("removed"))
 
 
