@@ -174,7 +174,9 @@ def _compared(pairs: DataFrame, texts: DataFrame, share: int, most: int, tau: in
     spoken = _once(both.where("worded"), "s", F.struct(F.split("line_a", " ").alias("x"), F.split("line_b", " ").alias("y")))
     x, y = F.col("s.x"), F.col("s.y")
     spoken = spoken.where((F.size(F.array_except(x, y)) <= F.col("t")) & (F.size(F.array_except(y, x)) <= F.col("t")))
-    spoken = spoken.where(banded_distance(x, y, most) <= F.col("t")).select("a", "b")
+    # replaced words alone are counted in place
+    in_place = (F.size(x) == F.size(y)) & (F.size(F.filter(F.zip_with(x, y, lambda i, j: i == j), lambda same: ~same)) <= F.col("t"))
+    spoken = spoken.where(F.when(in_place, F.lit(0)).otherwise(banded_distance(x, y, most)) <= F.col("t")).select("a", "b")
     spelt = both.where(~F.col("worded") & (F.abs(F.char_length("line_a") - F.char_length("line_b")) <= tau) & pieces_agree(F.col("line_a"), F.col("line_b"), tau))
     spelt = spelt.where(banded_distance(F.split("line_a", ""), F.split("line_b", ""), tau) <= tau).select("a", "b")
     return spoken.unionByName(spelt).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -186,10 +188,10 @@ def _pairs(a: Column, b: Column) -> list[Column]:
 
 def _across(met: DataFrame, roots: DataFrame, texts: DataFrame, share: int, most: int, tau: int) -> DataFrame:
     """Pairs (a, b) of lines of a key that are in different components and share one of the tokens rarest in it."""
-    # components of a key: those of its lines and of the line they were compared with; one value says nothing
+    # all have been compared with the first line of the key, so others must differ among themselves
     w = W.partitionBy("key")
-    rooted = met.join(roots, met["id"] == roots["node"], "left").select("key", "id", "own", F.coalesce("root", "id").alias("root"))
-    several = rooted.withColumn("one", F.min("root").over(w)).withColumn("other", F.max("root").over(w)).where("one < other").select("key", "id", "own", "root")
+    rooted = met.where("id <> low").join(roots, met["id"] == roots["node"], "left").select("key", "id", "own", F.coalesce("root", "id").alias("root"))
+    several = rooted.withColumn("one", F.min("root").over(w)).withColumn("other", F.max("root").over(w)).withColumn("found", F.max("own").over(w)).where("one < other and found").select("key", "id", "own", "root")
     several = stored(several, "lines-several")
     worded = F.col("key").bitwiseAND(F.lit(1)) == 1
     lines = several.join(texts, "id").withColumn("differ", F.when(worded, F.least(F.lit(most), _div(F.col("words"), share))).otherwise(GRAM * tau))
