@@ -5,13 +5,16 @@ is read from left to right: the longest match of what follows with the language'
 (Ziv and Merhav, 1993). Phrases per character estimate the cross entropy between the document and
 the language; the language that needs the fewest wins.
 
-Automata are tables (state x letter), and the segments of many documents advance together, one
-letter a step, so that a step is a few numpy operations whatever the number of documents.
+An automaton's transitions are stored sparsely: rows of a table (state x letter) are laid over each
+other so that no two entries share a place, so memory grows with the sample, not with the alphabet.
+Many documents advance together, one letter a step, so that a step is a few numpy operations. Long
+documents are cut into segments that advance side by side; afterwards each segment's beginning is
+parsed again from the state in which the one before it ends, until both parses are in the same
+state, so that the phrases are those of the whole document.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,30 +26,31 @@ from pyspark.sql import functions as F
 from tagloom.llm import _text as tx
 from tagloom.llm._work import table
 
-#: Bounds of the sample: characters of each language, documents they come from, characters of a document.
-CHARS, DOCS, EACH = 50_000, 200, 2_000
-#: Letters that have a column of their own; the others share the last one.
-LETTERS = 96
-#: A document is parsed in segments of this many letters.
-SEGMENT = 4096
+#: Bounds of the sample: characters of each language and documents they come from.
+CHARS, DOCS = 50_000, 200
+#: Letters of a segment; no result depends on it.
+SEGMENT = 1024
 UNKNOWN = "und"
 _SALTS = 64
 
 
 def sample(docs: DataFrame, label: str, chars: int, docs_each: int) -> dict[str, str]:
-    """Text of each label: the documents first by hash, at most ``docs_each`` of them and ``chars`` characters.
+    """Text of each label: the documents first by hash, at most ``docs_each`` of them, until ``chars`` characters are reached.
 
-    Copies of a text count once: they go before the ranking, by a sum that needs no task to hold them all.
-    Two rounds of ranking, the first inside a label's parts by hash, so that no task gets a whole label.
+    Texts are taken whole but for the one in which the bound lies. Copies of a text count once. Only
+    hashes and lengths are ranked, in two rounds, the first inside a label's parts by hash, so that no
+    task gets a whole label; then the chosen texts are fetched.
     """
-    order = F.xxhash64("text", F.lit("sample"))
-    rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("label"), F.substring("text", 1, EACH).alias("part"), order.alias("at")).dropDuplicates(["label", "at", "part"]).withColumn("salt", F.pmod("at", F.lit(_SALTS)))
-    for keys in (["label", "salt"], ["label"]):
-        rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("at", "part"))).where(F.col("rank") <= docs_each)
+    rows = docs.where(F.col(label).isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("label"), F.xxhash64("text", F.lit("sample")).alias("at"), F.char_length("text").alias("n"), "text")
+    keys = rows.drop("text").dropDuplicates(["label", "at", "n"]).withColumn("salt", F.pmod("at", F.lit(_SALTS)))
+    for parts in (["label", "salt"], ["label"]):
+        keys = keys.withColumn("rank", F.row_number().over(W.partitionBy(*parts).orderBy("at", "n"))).where(F.col("rank") <= docs_each)
+    keys = keys.withColumn("before", F.sum("n").over(W.partitionBy("label").orderBy("rank")) - F.col("n")).where(F.col("before") < chars)
+    taken = rows.join(F.broadcast(keys.select("label", "at", "n", "before")), ["label", "at", "n"])  # at most docs_each rows a label
+    parts = taken.select("label", "before", F.substring("text", F.lit(1), (chars - F.col("before")).cast("int")).alias("part")).distinct().collect()  # at most ``chars`` characters a label
     out: dict[str, str] = {}
-    for r in sorted(rows.select("label", "part", "at").distinct().collect(), key=lambda r: (r["label"], r["at"], r["part"])):  # at most docs_each rows a label
-        if len(have := out.get(r["label"], "")) < chars:
-            out[r["label"]] = (have + "\n" + r["part"])[:chars]
+    for r in sorted(parts, key=lambda r: (r["label"], r["before"], r["part"])):
+        out[r["label"]] = f"{out[r['label']]}\n{r['part']}" if r["label"] in out else r["part"]
     return out
 
 
@@ -56,14 +60,13 @@ def normal(text: str) -> str:
 
 
 class Letters:
-    """Codes of characters: 0 a break, 1.. the most frequent letters of the samples, the last one any other letter."""
+    """Codes of characters: 0 a break, 1.. the letters of the samples, the last one any other letter."""
 
     def __init__(self, texts: list[str]):
-        seen = Counter(c for t in texts for c in t if c != " ")
-        self.top = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: LETTERS - 2])
-        self.size = len(self.top) + 2
+        top = sorted({c for t in texts for c in t if c != " "})
+        self.size = len(top) + 2
+        codes = {c: i + 1 for i, c in enumerate(top)}
         every = [chr(i) for i in range(0x3000)]
-        codes = {c: i + 1 for i, c in enumerate(self.top)}
         self.table = np.array([codes.get(c.lower() if len(c.lower()) == 1 else c, self.size - 1) if c.isalpha() else 0 for c in every], np.int32)
         self.far = {ord(c): i for c, i in codes.items() if ord(c) >= 0x3000}
 
@@ -78,8 +81,8 @@ class Letters:
         return out
 
 
-def automaton(codes: list[int], letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``codes``, -1 where a match ends; state 0 is the empty match."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of ``codes``; state 0 is the empty match."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -101,43 +104,97 @@ def automaton(codes: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    out = np.full((len(step), letters), -1, np.int32)
-    for s, d in enumerate(step):
-        out[s, list(d)] = list(d.values())
-    return out
-
-
-def phrases(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Number of phrases of each segment flat[start:start+len] (lens descending)."""
-    letters = step.shape[1]
-    moves = step.ravel()
-    root = np.maximum(step[0], 0)  # a letter that the language lacks is a phrase of its own
-    state, count = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int64)
-    live, at = len(lens), 0
-    while live:
-        live = int(np.searchsorted(-lens, -at, "left"))
-        if not live:
-            break
-        c = flat[starts[:live] + at]
-        new = moves[state[:live] * letters + c]
-        ends = new < 0
-        count[:live] += ends | (state[:live] == 0)  # where a phrase begins
-        state[:live] = np.where(ends, root[c], new)
-        at += 1
-    return count
+    return step
+
+
+class Automaton:
+    """Sparse transitions: that of state s by letter c stands at ``base[s] + c`` if ``owner`` says s there."""
+
+    def __init__(self, step: list[dict[int, int]], letters: int):
+        rows = sorted(range(len(step)), key=lambda s: -len(step[s]))
+        base, taken, free, end = [0] * len(step), bytearray(letters + 1), 0, 0
+        for s in rows:
+            own = step[s]
+            if not own:
+                break
+            least = min(own)
+            gaps = [c - least for c in own]
+            while taken[free]:
+                free += 1
+            at, tries = max(free, least), 0
+            while True:
+                if at + letters >= len(taken):
+                    taken.extend(bytes(len(taken)))
+                if not any(taken[at + g] for g in gaps):
+                    break
+                tries += 1
+                at = at + 1 if tries < 64 else max(at + 1, end)  # a row that soon fits nowhere goes where all is free
+            base[s] = at - least
+            for g in gaps:
+                taken[at + g] = 1
+            end = max(end, at + max(gaps) + 1)
+        self.base = np.array(base, np.int32)
+        self.owner = np.full(max(base) + letters, -1, np.int32)
+        self.to = np.zeros(len(self.owner), np.int32)
+        for s, own in enumerate(step):
+            for c, t in own.items():
+                self.owner[base[s] + c], self.to[base[s] + c] = s, t
+        self.root = np.zeros(letters, np.int32)  # a letter that the language lacks is a phrase of its own
+        for c, t in step[0].items():
+            self.root[c] = t
+
+    def advance(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states behind letters ``c``, and whether a phrase begins with each of them."""
+        at = self.base[state] + c
+        goes = self.owner[at] == state
+        return np.where(goes, self.to[at], self.root[c]), ~goes | (state == 0)
+
+    def phrases(self, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Where in ``codes`` phrases begin, as a mask; segments codes[start:start+len], lens descending.
+
+        ``follows``: the segment that a segment continues, -1 where a document begins.
+        """
+        begins = np.zeros(len(codes), bool)
+        states = np.zeros(len(codes), np.int32)
+        state, live, at = np.zeros(len(starts), np.int32), len(lens), 0
+        while live := int(np.searchsorted(-lens[:live], -at, "left")):
+            here = starts[:live] + at
+            state[:live], begins[here] = self.advance(state[:live], codes[here])
+            states[here] = state[:live]
+            at += 1
+        # a segment that was parsed from the empty match is parsed again from where the one before it ends
+        redo = np.flatnonzero(follows >= 0)
+        while len(redo):
+            now, rows, at = states[starts[follows[redo]] + lens[follows[redo]] - 1], redo, 0
+            changed = []
+            while len(rows):
+                here = starts[rows] + at
+                now, new = self.advance(now, codes[here])
+                begins[here] = new
+                same = now == states[here]
+                states[here] = now
+                at += 1
+                over = ~same & (lens[rows] == at)  # the segment now ends in another state
+                changed.append(rows[over])
+                on = ~same & ~over
+                now, rows = now[on], rows[on]
+            changed = np.concatenate(changed)
+            redo = np.flatnonzero(np.isin(follows, changed)) if len(changed) else changed
+        return begins
 
 
 class Model:
-    """Automata of all languages; a few tens of MB for each, as the sample is bounded."""
+    """Automata of all languages, some 2 MB for each, as the sample is bounded."""
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
         clean = [normal(texts[n]) for n in self.names]
         self.letters = Letters(clean)
-        self.steps = [automaton(self.letters.encode(np.frombuffer(t.encode("utf-32-le"), np.uint32)).tolist(), self.letters.size) for t in clean]
+        coded = (self.letters.encode(np.frombuffer(t.encode("utf-32-le"), np.uint32)).tolist() for t in clean)
+        self.automata = [Automaton(suffix_automaton(c), self.letters.size) for c in coded]
 
-    def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the winner (-1: no letters or no languages) and score of each text."""
+    def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each text in each language (languages x texts), and whether a text has letters."""
         data, offsets = tx.column(column)
         docs = len(offsets) - 1
         n = int(offsets[-1])
@@ -158,16 +215,24 @@ class Model:
         starts = total[owner] + number * SEGMENT
         lens = np.minimum(SEGMENT, total[owner + 1] - starts)
         order = np.argsort(-lens, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        follows = np.where(number > 0, np.concatenate(([-1], place[:-1]))[: len(order)], -1)[order]
         counts = np.zeros((len(self.names), docs))
-        for k, step in enumerate(self.steps):
-            counts[k] = np.bincount(owner[order], weights=phrases(codes, starts[order], lens[order], step), minlength=docs)
+        for k, automaton in enumerate(self.automata):
+            counts[k] = np.bincount(doc[automaton.phrases(codes, starts[order], lens[order], follows)], minlength=docs)
+        return counts, np.bincount(doc, weights=codes > 0, minlength=docs) > 0
+
+    def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the winner (-1: no letters or no languages), score, and whether there are letters, of each text."""
+        counts, letters = self.counts(column)
+        docs = len(letters)
         if not len(self.names):
-            return np.full(docs, -1), np.zeros(docs)
+            return np.full(docs, -1), np.zeros(docs), letters
         ranked = np.sort(counts, axis=0)
         best, second = ranked[0], ranked[1] if len(ranked) > 1 else 2 * ranked[0]
-        letters = np.bincount(doc, weights=codes > 0, minlength=docs) > 0
         score = np.where(letters, second / np.maximum(best + second, 1), 0.0)
-        return np.where(letters, counts.argmin(0), -1), score
+        return np.where(letters, counts.argmin(0), -1), score, letters
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -175,7 +240,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Score: the second language's share of the two best languages' phrases, 0.5 (a tie) to 1. A tie
     goes to the first name by code point. Null text or text without letters, or a model without
-    languages: ``und`` with score 0. Very long texts are parsed whole, a segment at a time. Null and
+    languages: ``und`` with score 0. Very long texts are parsed whole. Null and
     repeated doc_ids: a row each. Other columns are left out; an empty table gives none.
     """
 
@@ -185,20 +250,27 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         names = np.array([*model.names, UNKNOWN], object)
         for batch in tx.slices(batches, "text"):
-            best, score = model.predict(batch.column("text"))
+            best, score, _ = model.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with letters in their text, with all columns; the others have no language and go. Nothing is shuffled."""
+def identified(docs: DataFrame, model: Model, label: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that have a language, with all columns and the predicted language as their ``label``.
+
+    Null texts and those without letters have none and go. Where the model knows no language, rows
+    with letters stay as they are. A table without a column ``label`` only loses rows. Nothing is shuffled.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array([*shared.value.names, None], object)
         for batch in tx.slices(batches, "text"):
-            best, _ = shared.value.predict(batch.column("text"))
-            yield batch.filter(pa.array(best >= 0))
+            best, _, letters = shared.value.predict(batch.column("text"))
+            if len(names) > 1 and label in batch.schema.names:
+                batch = batch.set_column(batch.schema.names.index(label), label, pa.array(names[best], pa.string()))
+            yield batch.filter(pa.array(letters))
 
     return docs.mapInArrow(run, docs.schema)
 

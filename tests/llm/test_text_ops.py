@@ -155,22 +155,44 @@ def test_quality_of_an_empty_table(spark):
     assert quality.quality(spark.createDataFrame([], SCHEMA)).isEmpty()
 
 
-def test_phrases_equal_a_walk():
+def walked(source, text):
+    """Phrases of ``text`` by its longest matches with ``source``, one after the other."""
+    n = i = 0
+    while i < len(text):
+        k = 1
+        while i + k <= len(text) and text[i : i + k] in source:
+            k += 1
+        n, i = n + 1, i + max(1, k - 1)
+    return n
+
+
+@pytest.mark.parametrize("segment", [3, 16, 1024])
+def test_phrases_equal_a_walk(monkeypatch, segment):
+    import pyarrow as pa
+
+    monkeypatch.setattr(langid, "SEGMENT", segment)
     rng = np.random.default_rng(2)
-    source = "".join(rng.choice(list("abc "), 400))
-    texts = ["".join(rng.choice(list("abcd "), n)) for n in (1, 7, 60, 200)]
-    letters = langid.Letters([source])
-    step = langid.automaton(letters.encode(np.array([ord(c) for c in source])).tolist(), letters.size)
-    for t in texts:
-        codes = letters.encode(np.array([ord(c) for c in t]))
-        known, n, i = letters.encode(np.array([ord(c) for c in source])).tolist(), 0, 0
-        joined = ",".join(map(str, known))
-        while i < len(t):
-            k = 1
-            while i + k <= len(t) and f",{','.join(map(str, codes[i : i + k]))}," in f",{joined},":
-                k += 1
-            n, i = n + 1, i + max(1, k - 1)
-        assert langid.phrases(codes, np.array([0]), np.array([len(t)]), step)[0] == n
+    spaced = lambda letters, n: langid.normal("".join(rng.choice(list(letters), n)))
+    sources = {"a": spaced("abc ", 400), "b": spaced("abcde ", 900), "zh": spaced("".join(map(chr, range(0x4E00, 0x4E40))) + " ", 3000), "one": "aaaaaaaaaaaaaaaa"}
+    texts = [spaced("abcd ", n) for n in (1, 7, 60, 200, 9000)] + [spaced("".join(map(chr, range(0x4E00, 0x4E50))), 700), "", "a" * 5000, sources["b"][100:700].strip(), sources["zh"]]
+    counts, letters = langid.Model(sources).counts(pa.array(texts))
+    assert letters.tolist() == [bool(t) for t in texts]
+    for k, name in enumerate(sorted(sources)):
+        assert counts[k].tolist() == [walked(sources[name], t) for t in texts]
+
+
+def test_languages_of_one_script():
+    """Every letter counts, however many there are, and memory grows with the sample and the alphabet, not with their product."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    write = lambda lo, n: "".join(chr(lo + k) for k in rng.integers(0, 300, n) * rng.integers(0, 2, n))
+    model = langid.Model({f"l{i:03d}": write(0x4E00 + 80 * i, 600) for i in range(200)})
+    texts = [write(0x4E00 + 80 * i, 400) for i in range(0, 200, 7)]
+    best, score, _ = model.predict(pa.array(texts))
+    assert [model.names[b] for b in best] == [f"l{i:03d}" for i in range(0, 200, 7)]
+    assert all(0.5 <= s <= 1 for s in score)
+    assert sum(a.base.nbytes + a.owner.nbytes + a.to.nbytes + a.root.nbytes for a in model.automata) < 200 * (600 * 60 + 20 * model.letters.size)
 
 
 def test_languages_of_held_out_documents(spark):
@@ -195,7 +217,10 @@ def test_language_of_odd_texts(docs, spark):
     assert (0, "und") in got and (1, "und") in got and got[(0, "und")] == 0.0
     assert (16, "en") in got and all(0 <= s <= 1 for s in got.values())
     assert langid.identified(docs, model).columns == docs.columns
+    told = {(r["doc_id"], r["lang"]) for r in langid.identified(docs.withColumn("lang", F.lit(None).cast("string")), model).collect()}
+    assert (16, "en") in told and not any(i in (0, 1) for i, _ in told)
     empty = langid.train(train.limit(0))
+    assert {r["doc_id"] for r in langid.identified(docs, empty).collect()} == {i for i, _ in told}
     assert {r["lang_pred"] for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
