@@ -13,7 +13,8 @@ MOST_KEPT, LONGEST_KEPT = 2_400_000, 48
 class Table:
     """Open addressing from 64-bit hashes to slots, all keys of a call at once."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 16):
+        self.bits = bits
         self.shift, self.mask, self.size = np.uint64(64 - bits), (1 << bits) - 1, 0
         self.key = np.zeros(1 << bits, np.uint64)
 
@@ -47,29 +48,48 @@ class SpanCache:
     """Cuts texts into spans that are encoded on their own; one for each file and Python worker.
 
     Subclasses give ``spans`` (starts, lengths, each document's first span) and ``_encode`` (ids of
-    all spans in order, and their number for each span).
+    all spans in order, and their number for each span). Tables begin small and double, so that a
+    worker that is kept for later stages holds no more than its spans need. A cache serves either
+    ``ids`` or ``counts``; for the latter no ids are kept.
     """
 
     _made: dict
 
     def _clear(self) -> None:
-        self.held, self.pool, self.filled = Table(), np.zeros(1 << 20, np.uint32), 0
+        self.held, self.pool, self.filled = Table(), np.zeros(1 << 16, np.uint32), 0
         self.at, self.n = np.zeros(len(self.held.key), np.int32), np.zeros(len(self.held.key), np.int32)
 
     @classmethod
-    def of(cls, path: str) -> "SpanCache":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
-
-    def look(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For all cuts: place in the pool and number of ids; first cut of each document; the pool."""
+    def of(cls, path: str, use: str = "ids") -> "SpanCache":
+        if (path, use) not in cls._made:
+            cls._made[path, use] = cls(path)
+        return cls._made[path, use]
+
+    def _add(self, keys: np.ndarray) -> np.ndarray:
+        """Slots for new hashes, in a table at most half full."""
+        bits = self.held.bits
+        while (self.held.size + len(keys)) * 2 > 1 << bits:
+            bits += 1
+        if bits > self.held.bits:
+            old, wider = np.flatnonzero(self.held.key), Table(bits)
+            to = wider.add(self.held.key[old])
+            at, n = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+            at[to], n[to] = self.at[old], self.n[old]
+            self.held, self.at, self.n = wider, at, n
+        return self.held.add(keys)
+
+    def _hashed(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Starts, lengths and hashes of all cuts, first cut of each document, and their slots, -1 where they are new."""
         starts, lens, first = self.spans(data, offsets)
         h = tx.hash_spans(data, starts, lens)
         h |= np.uint64(h == 0)
         if self.held.size > MOST_KEPT:
             self._clear()
-        slot = self.held.find(h)
+        return starts, lens, h, first, self.held.find(h)
+
+    def look(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all cuts: place in the pool and number of ids; first cut of each document; the pool."""
+        starts, lens, h, first, slot = self._hashed(data, offsets)
         at, n = self.at[slot], self.n[slot]
         miss = np.flatnonzero(slot < 0)
         pool = self.pool
@@ -88,16 +108,26 @@ class SpanCache:
             pool = self.pool
             pool[self.filled : self.filled + len(ids)] = ids
             self.filled += int(counts[keep].sum())
-            new = self.held.add(key[keep])
+            new = self._add(key[keep])
             self.at[new], self.n[new] = place[keep], counts[keep]
             at[miss], n[miss] = place[back], counts[back]
         return at, n, first, pool
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Number of ids of each document: the counts of its cuts, summed by frequency."""
-        _, n, first, _ = self.look(data, offsets)
-        total = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
-        return total[first[1:]] - total[first[:-1]]
+        """Number of ids of each document: how often each of its distinct cuts stands in it, times the cut's count."""
+        starts, lens, h, first, _ = self._hashed(data, offsets)
+        distinct, one, back = np.unique(h, return_index=True, return_inverse=True)
+        slot = self.held.find(distinct)
+        n = self.n[slot].astype(np.int64)
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            n[miss] = self._encode(data, starts[one[miss]], lens[one[miss]])[1]
+            keep = miss[lens[one[miss]] <= LONGEST_KEPT]
+            self.n[self._add(distinct[keep])] = n[keep]
+        # frequencies of (document, distinct cut), joined to the counts
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        pair, often = np.unique(owner * len(distinct) + back, return_counts=True)
+        return np.bincount(pair // max(1, len(distinct)), weights=often * n[pair % max(1, len(distinct))], minlength=len(first) - 1).astype(np.int64)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the offset of each document's first one."""

@@ -13,13 +13,12 @@ import os
 import numpy as np
 
 from tagloom.llm import _text as tx
+from tagloom.llm._cache import LONGEST_KEPT, SpanCache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
-#: Entries after which the cache begins anew, and the longest cut that it holds.
-MOST_KEPT, LONGEST_KEPT = 2_400_000, 48
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,43 +40,11 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, lens, np.searchsorted(starts, offsets)
 
 
-class Table:
-    """Open addressing from 64-bit hashes to slots, all keys of a call at once."""
-
-    def __init__(self, bits: int = 22):
-        self.shift, self.mask, self.size = np.uint64(64 - bits), (1 << bits) - 1, 0
-        self.key = np.zeros(1 << bits, np.uint64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Slots, -1 where a hash isn't held."""
-        out = np.full(len(h), -1, np.int64)
-        at, slot = np.arange(len(h)), (h >> self.shift).astype(np.int64)
-        while len(at):
-            k = self.key[slot]
-            hit = k == h[at]
-            out[at[hit]] = slot[hit]
-            on = ~hit & (k != 0)
-            at, slot = at[on], (slot[on] + 1) & self.mask
-        return out
-
-    def add(self, h: np.ndarray) -> np.ndarray:
-        """Slots for distinct hashes that aren't held yet."""
-        out = np.empty(len(h), np.int64)
-        at, slot = np.arange(len(h)), (h >> self.shift).astype(np.int64)
-        while len(at):
-            free = self.key[slot] == 0
-            self.key[slot[free]] = h[at[free]]
-            won = free & (self.key[slot] == h[at])
-            out[at[won]] = slot[won]
-            at, slot = at[~won], (slot[~won] + 1) & self.mask
-        self.size += len(h)
-        return out
-
-
-class Pieces:
+class Pieces(SpanCache):
     """Ids of cuts by the tokenizer file at ``path``; one for each Python worker."""
 
-    _made: dict[str, "Pieces"] = {}
+    _made: dict = {}
+    spans = staticmethod(cuts)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -89,16 +56,6 @@ class Pieces:
             self.width[i] = len(piece)  # one character stands for one byte
         self._clear()
 
-    def _clear(self) -> None:
-        self.held, self.pool, self.filled = Table(), np.zeros(1 << 20, np.uint32), 0
-        self.at, self.n = np.zeros(len(self.held.key), np.int32), np.zeros(len(self.held.key), np.int32)
-
-    @classmethod
-    def of(cls, path: str) -> "Pieces":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
-
     def _encode(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all spans in order, and their number for each span."""
         counts = np.zeros(len(starts), np.int64)
@@ -129,46 +86,3 @@ class Pieces:
         for i, ids in zip(alone, own, strict=True):
             out[to[i] : to[i] + len(ids)] = ids
         return out, counts
-
-    def look(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For all cuts: place in the pool and number of ids; first cut of each document; the pool."""
-        starts, lens, first = cuts(data, offsets)
-        h = tx.hash_spans(data, starts, lens)
-        h |= np.uint64(h == 0)
-        if self.held.size > MOST_KEPT:
-            self._clear()
-        slot = self.held.find(h)
-        at, n = self.at[slot], self.n[slot]
-        miss = np.flatnonzero(slot < 0)
-        pool = self.pool
-        if len(miss):
-            key, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            one = miss[one]
-            ids, counts = self._encode(data, starts[one], lens[one])
-            keep = lens[one] <= LONGEST_KEPT
-            order = np.argsort(~keep, kind="stable")  # what is kept comes first in the pool
-            kept = np.repeat(keep, counts)
-            ids = np.concatenate((ids[kept], ids[~kept]))
-            place = np.empty(len(key), np.int64)
-            place[order] = self.filled + np.cumsum(counts[order]) - counts[order]
-            if self.filled + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool[: self.filled], np.empty(self.filled + len(ids), np.uint32)))
-            pool = self.pool
-            pool[self.filled : self.filled + len(ids)] = ids
-            self.filled += int(counts[keep].sum())
-            new = self.held.add(key[keep])
-            self.at[new], self.n[new] = place[keep], counts[keep]
-            at[miss], n[miss] = place[back], counts[back]
-        return at, n, first, pool
-
-    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Number of ids of each document: the counts of its cuts, summed by frequency."""
-        _, n, first, _ = self.look(data, offsets)
-        total = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
-        return total[first[1:]] - total[first[:-1]]
-
-    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the offset of each document's first one."""
-        at, n, first, pool = self.look(data, offsets)
-        total = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
-        return pool[np.arange(total[-1]) + np.repeat(at - total[:-1], n)], total[first]

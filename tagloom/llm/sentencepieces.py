@@ -260,7 +260,7 @@ class Model:
 class Codec(SpanCache):
     """Ids of words by a model file; one for each Python worker."""
 
-    _made: dict[str, "Codec"] = {}
+    _made: dict = {}
 
     def __init__(self, path: str):
         self.model = Model(path)

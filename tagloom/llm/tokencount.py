@@ -17,15 +17,16 @@ from tagloom.llm._work import table
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > ``limit``) of each row of ``docs`` (doc_id, text).
 
-    Each Arrow slice joins the counts of its distinct pre-tokens (kept from slice to slice in the
-    worker) to the per-document frequencies; no document's ids are made. Nothing is shuffled.
+    Each Arrow slice counts how often each distinct pre-token stands in each document, joins those
+    frequencies to the pre-tokens' counts (taken once, kept from slice to slice in the worker) and sums
+    the products; no document's ids are made and none are kept. Nothing is shuffled.
     Null or empty text: 0 bytes, 0 tokens. Null and repeated doc_ids: a row each. Other columns are
     left out; an empty table gives none. ``tokenizer`` is the path of a byte-level BPE file of the
     tokenizers library, readable on every machine.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(tokenizer)
+        pieces = Pieces.of(tokenizer, "counts")
         for batch in tx.slices(batches, "text"):
             data, offsets = tx.column(batch.column("text"))
             n = pieces.counts(data, offsets)
