@@ -23,7 +23,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i * 31 % 101).cast("int").alias("score"),
         (256 + (i * 7919) % 1793).alias("image_width"),
         (256 + (i * 104729) % 1801).alias("image_height"),
-        F.when(i % 13 == 0, "").otherwise(F.array_join(F.slice(words, 1, 12), " ")).alias("tag_string_general"),
+        F.when(i % 13 == 0, "").otherwise(F.array_join(words, " ")).alias("tag_string_general"),
         F.when(i % 3 == 0, F.concat(F.lit("char_"), (i % 17).cast("string"))).otherwise("").alias("tag_string_character"),
         F.col("lang").alias("tag_string_copyright"),
         F.concat(F.lit("artist_"), "source").alias("tag_string_artist"),
@@ -40,7 +40,7 @@ posts as (select doc_id as id,
  cast(doc_id*31%101 as int) as score,
  256+(doc_id*7919)%1793 as image_width, 256+(doc_id*104729)%1801 as image_height,
  case when doc_id%13=0 then ''
-  else array_to_string(list_filter(regexp_split_to_array(lower(text),'[^a-z]+'), lambda x: x<>'')[1:12],' ') end as tag_string_general,
+  else array_to_string(list_filter(regexp_split_to_array(lower(text),'[^a-z]+'), lambda x: x<>''),' ') end as tag_string_general,
  case when doc_id%3=0 then concat('char_',cast(doc_id%17 as varchar)) else '' end as tag_string_character,
  lang as tag_string_copyright, concat('artist_',source) as tag_string_artist,
  case when doc_id%11=0 then 'highres' else '' end as tag_string_meta,

@@ -13,11 +13,11 @@ from tagloom.plans.captions import u
 from tagloom.plans.geometry import chosen, chosen_sql
 
 BLOCK, BATCH, ACCUMULATE = 64, 4, 8
-SAMPLES = f"{fx.POSTS}, {chosen_sql(768)}, samples as (select id, id//100 as shard_index, id%100 as sample_index, concat(bw,'x',bh) as bucket from chosen where id%9<>0)"
+SAMPLES = f"{fx.POSTS}, {chosen_sql(768)}, samples as (select id, id//100 as shard_index, id%100 as sample_index, concat(bw,'x',bh) as bucket from chosen)"
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chosen(fx.posts(spark, sf_dir).where("id % 9 <> 0"), 768)
+    c = chosen(fx.posts(spark, sf_dir), 768)
     return c.select("id", F.floor(F.col("id") / 100).alias("shard_index"), (F.col("id") % 100).alias("sample_index"), g.key(F.col("b.width"), F.col("b.height")).alias("bucket"))
 
 

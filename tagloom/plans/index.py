@@ -110,11 +110,11 @@ def shard_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "pages").select(i, source.alias("source")).withColumn("bucket", paths.shard_bucket(F.col("source")))
 
 
-@query(f"""with {fx.POSTS}, {INDEX}, shards as (select distinct bucket as name from idx where bucket < '0010')
+@query(f"""with {fx.POSTS}, {INDEX}, shards as (select distinct bucket as name from idx)
 select i.bucket, count(*) as n, min(id) as least from idx i join shards on bucket = name group by i.bucket""")
 def shard_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = index.build(fx.posts(spark, sf_dir), MODULUS)
-    shards = idx.where("bucket < '0010'").select(F.concat(F.lit("/data/"), "bucket", F.lit(".tar")).alias("source")).distinct()
+    shards = idx.select(F.concat(F.lit("/data/"), "bucket", F.lit(".tar")).alias("source")).distinct()
     joined = shards.select(paths.shard_bucket(F.col("source")).alias("bucket")).join(idx, "bucket")
     return joined.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
 

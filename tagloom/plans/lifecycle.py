@@ -101,8 +101,8 @@ def preflight_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.preflight(spark, settings)
 
 
-@query("with c as (select event_id%5 as part, case event_id%9 when 0 then 'error' when 1 then 'warning' else 'ok' end as level from events where event_id<3) select count(*) filter (level='error') as errors, count(*) filter (level='warning') as warnings, count(*) filter (level='error')=0 as ok from c")
+@query("with c as (select event_id%5 as part, case event_id%9 when 0 then 'error' when 1 then 'warning' else 'ok' end as level from events) select count(*) filter (level='error') as errors, count(*) filter (level='warning') as warnings, count(*) filter (level='error')=0 as ok from c")
 def report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
-    c = fx.table(spark, sf_dir, "events").where("event_id < 3").select(F.when(i % 9 == 0, "error").when(i % 9 == 1, "warning").otherwise("ok").alias("level"))
+    c = fx.table(spark, sf_dir, "events").select(F.when(i % 9 == 0, "error").when(i % 9 == 1, "warning").otherwise("ok").alias("level"))
     return lifecycle.report(c)
