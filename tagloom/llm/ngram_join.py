@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import _text as tx
 from tagloom.llm._graph import components
-from tagloom.llm._work import stored, table
+from tagloom.llm._work import remove, stored, table
 
 U64 = np.uint64
 #: So many of the most frequent shingles come last in the lists' order (16 bytes each on every machine).
@@ -81,7 +81,7 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def _scan(size: int):
-    """Rows of kind 0: (doc_id, n, fingerprint); of kind 1: shingles met in several documents of the task, and in how many."""
+    """Rows of kind 0: (doc_id, n, fingerprint, sketch); of kind 1: shingles met in several documents of the task, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -104,7 +104,7 @@ def _scan(size: int):
 
         for batch in tx.slices(batches, "text"):
             sets = tx.shingle_sets(*tx.column(batch.column("text")), size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["kind", "doc_id", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["kind", "doc_id", "n", "fp", "sketch"])
             loose += sets
             held += sum(map(len, sets))
             if held > 3_000_000:
@@ -112,7 +112,7 @@ def _scan(size: int):
         settle(2)
         for a in range(0, len(keys), 50_000):
             k, c = keys[a : a + 50_000], counts[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.array(c), pa.array(k.view(np.int64))], names=["kind", "doc_id", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.nulls(len(k), pa.int64()), pa.array(c), pa.array(k.view(np.int64)), pa.nulls(len(k), pa.binary())], names=["kind", "doc_id", "n", "fp", "sketch"])
 
     return run
 
@@ -303,6 +303,21 @@ def _cross(t: Fraction, turn: int | None = None):
     return run
 
 
+def _likely(t: Fraction):
+    """The pairs (a, b) whose sketches and sizes allow a link: sets share at most the smaller count of each part of the hash range."""
+    top, bottom = t.numerator, t.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 64) for c in ("sketch_a", "sketch_b"))
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            fine = (most * (top + bottom) >= top * sizes) | (x == 255).any(1) | (y == 255).any(1)
+            yield batch.select(["a", "b"]).filter(pa.array(fine))
+
+    return run
+
+
 def _verify(size: int, t: Fraction):
     top, bottom = t.numerator, t.denominator
 
@@ -333,7 +348,7 @@ def _texts(size: int):
         for batch in tx.slices(batches, "text"):
             fp, sets = batch.column("fp").to_numpy(), tx.shingle_sets(*tx.column(batch.column("text")), size)
             same = pa.array(np.array([fingerprint(s) for s in sets], np.int64) == fp)
-            yield pa.RecordBatch.from_arrays([batch.column("fp").filter(same), pa.array([sketch(s) for s in sets], pa.binary()).filter(same), batch.column("text").filter(same)], names=["fp", "sketch", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("fp").filter(same), batch.column("text").filter(same)], names=["fp", "text"])
 
     return run
 
@@ -347,11 +362,11 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
     are one document (links of either text count). Other columns are left out; an empty table gives
     none. Sets are compared by 64-bit hashes of their shingles.
     """
-    t = Fraction(threshold)
+    t, spark = Fraction(threshold), docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = stored(docs.mapInArrow(_scan(size), "kind int, doc_id long, n long, fp long"), "ngram-scan", "kind")
-    found = scanned.where("kind = 0").select("doc_id", "n", "fp")
-    classes = stored(found.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id")), "ngram-classes")
+    scanned = stored(docs.mapInArrow(_scan(size), "kind int, doc_id long, n long, fp long, sketch binary"), "ngram-scan", "kind")
+    found = scanned.where("kind = 0").select("doc_id", "n", "fp", "sketch")
+    classes = stored(found.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id"), F.max("sketch").alias("sketch")), "ngram-classes")
     sizes = {r["n"]: r["k"] for r in classes.where(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}  # a row for each small size
     below = boundary(sizes, t)
     counts = scanned.where("kind = 1").groupBy("fp").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "fp").limit(HOT).toPandas()  # HOT rows at most
@@ -366,24 +381,33 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
     first = stored(runs.where("kind = 1").select("a", "b").distinct(), "ngram-pairs")
     wanted = runs.where("kind = 0").select(F.col("a").alias("fp")).distinct()
     at = classes.join(wanted, "fp", "left_semi").select("fp", "doc_id")
-    texts = stored(docs.join(at, "doc_id").select("fp", "text").mapInArrow(_texts(size), "fp long, sketch binary, text string").dropDuplicates(["fp"]), "ngram-texts")
+    texts = stored(docs.join(at, "doc_id").select("fp", "text").mapInArrow(_texts(size), "fp long, text string").dropDuplicates(["fp"]), "ngram-texts")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        b = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-        both = b.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(_verify(size, t), "u long, v long")
+    sketches = classes.select("fp", "n", "sketch")
 
-    links = stored(runs.where("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(compared(first)), "ngram-links")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The linked ones of the pairs; texts are fetched only for those that sizes and sketches leave."""
+        for c in "ab":
+            pairs = pairs.join(sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+        likely = stored(pairs.mapInArrow(_likely(t), "a long, b long"), "ngram-likely")
+        b = likely.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
+        first_texts = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")).join(likely.select("a").distinct(), "a", "left_semi")
+        linked = b.join(first_texts, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify(size, t), "u long, v long")
+        linked = stored(linked, "ngram-linked")
+        remove(spark, likely)
+        return linked
+
+    links = runs.where("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(compared(first))
     roots = stored(components(links), "ngram-roots")
     entries = runs.where("kind = 0").select("key", F.col("a").alias("fp"), "n", "pos")
     tested, turn = first, 0
     while True:
         last = turn == TURNS
         rooted = entries.join(roots, entries["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-        rooted = rooted.join(texts.select("fp", "sketch"), "fp")
+        rooted = rooted.join(sketches.select("fp", "sketch"), "fp")
         crossing = rooted.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_cross(t, None if last else turn), "a long, b long")
         crossing = stored(crossing.distinct().join(tested, ["a", "b"], "left_anti"), "ngram-crossing")
-        more = stored(compared(crossing), "ngram-more")
+        more = compared(crossing)
         if not more.isEmpty():
             roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "ngram-roots")
         elif not last:
@@ -393,6 +417,7 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
         tested = tested.unionByName(crossing)
         turn += 1
 
+    remove(spark, runs, texts)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "n", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
     by_fp = rooted.join(least, "root").select("fp", "least")
