@@ -14,7 +14,7 @@ from tagloom.llm._work import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: texts without a letter go."""
+    """Documents that have a language, with the predicted one as their lang; texts without a letter have none and go."""
     return langid.identified(docs, langid.train(docs))
 
 
