@@ -123,7 +123,8 @@ class SpanCache:
         if len(miss):
             n[miss] = self._encode(data, starts[one[miss]], lens[one[miss]])[1]
             keep = miss[lens[one[miss]] <= LONGEST_KEPT]
-            self.n[self._add(distinct[keep])] = n[keep]
+            new = self._add(distinct[keep])  # may replace the tables
+            self.n[new] = n[keep]
         # frequencies of (document, distinct cut), joined to the counts
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         pair, often = np.unique(owner * len(distinct) + back, return_counts=True)

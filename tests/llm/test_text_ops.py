@@ -155,6 +155,29 @@ def test_quality_of_an_empty_table(spark):
     assert quality.quality(spark.createDataFrame([], SCHEMA)).isEmpty()
 
 
+def test_span_tables_grow():
+    """Counts and ids stay those of the library while a cache's tables double several times."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tagloom.llm._pieces import Pieces
+
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    for use in ("counts", "ids"):
+        cache = Pieces(path)
+        for k in range(4):
+            texts = [" ".join(f"w{k}x{i}" for i in range(a, a + 3000)) for a in range(0, 30_000, 3000)]
+            data, offsets = tx.column(pa.array(texts))
+            want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+            if use == "counts":
+                assert cache.counts(data, offsets).tolist() == [len(w) for w in want]
+            else:
+                ids, first = cache.ids(data, offsets)
+                assert ids.tolist() == [i for w in want for i in w] and np.diff(first).tolist() == [len(w) for w in want]
+        assert cache.held.bits > 17
+
+
 def walked(source, text):
     """Phrases of ``text`` by its longest matches with ``source``, one after the other."""
     n = i = 0
