@@ -1,8 +1,10 @@
 """Operators on single texts against brute force, with nulls, empty and long texts, repeated rows, empty tables and extra columns."""
 
+import json
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -67,6 +69,73 @@ def test_a_damaged_pack_is_found(docs, spark):
         idstore.read_chunks(spark, root).collect()
 
 
+def local(uri):
+    return Path(uri.removeprefix("file:").replace("//", "/"))
+
+
+@pytest.mark.parametrize("harm", ["recipe lost", "recipe altered", "pack lost", "entry lost", "entry altered"])
+def test_a_store_that_lacks_something_is_found(docs, spark, harm):
+    root = new_dir(spark, "test")
+    manifest = idstore.write_store(docs, BYTE, root)
+    at, what = local(root), "packs" if "pack" in harm else "recipes"
+    entry = manifest[what][0]
+    if harm.startswith("entry"):
+        entry["ids"] += 1
+        manifest[what] = manifest[what][1:] if "lost" in harm else manifest[what]
+        (at / "MANIFEST.json").write_text(json.dumps(manifest))
+    else:
+        file = at / what / entry[what[:-1]]
+        raw = bytearray(file.read_bytes())
+        file.unlink()
+        if "altered" in harm:
+            raw[len(raw) // 2] ^= 1
+            file.write_bytes(raw)
+    for read in (idstore.read_digests, idstore.read_documents):
+        with pytest.raises(Exception, match="Merkle root|differs from its hash|No such file|FileNotFound"):
+            read(spark, root).collect()
+
+
+def test_a_recipe_of_a_chunk_that_no_pack_holds_is_found(docs, spark, monkeypatch):
+    root = new_dir(spark, "test")
+    idstore.write_store(docs, BYTE, root)
+    whole = idstore.read_chunks(spark, root)
+    monkeypatch.setattr(idstore, "read_chunks", lambda spark, root, payload: whole.limit(whole.count() - 1))
+    with pytest.raises(Exception, match="no pack holds"):
+        idstore.read_digests(spark, root).collect()
+
+
+def test_packs_hold_ids_in_the_order_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(idstore, "PACK", 1 << 12)
+    shared = " ".join(f"shared{i}" for i in range(900))
+    texts = [shared * (i % 3 == 0) + " ".join(f"w{i * k % 997}" for k in range(1, 400)) + shared for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    root = new_dir(spark, "test")
+    manifest = idstore.write_store(spark.createDataFrame(rows[::-1], "doc_id bigint, text string").repartition(5), BYTE, root)
+    assert len(manifest["packs"]) > 3
+    held = []
+    for p in manifest["packs"]:
+        with open(local(root) / "packs" / p["pack"], "rb") as f:
+            held += [(key, x) for key, x in idstore._chunks(f, p["pack"], manifest["width"])]
+    want, seen = [], set()
+    for ids in tokens(texts):
+        ids = np.array([*ids, 0])
+        ends = idstore.cut(0, len(ids), idstore.cut_points(ids))
+        for a, b in zip([0, *ends], ends, strict=False):
+            x = ids[a:b].astype(f"<u{manifest['width']}").tobytes()
+            if x not in seen:
+                seen.add(x)
+                want.append(x)
+    assert [x for _, x in held] == want
+    back = sorted((r["doc_id"], r["ids"]) for r in idstore.read_documents(spark, root).collect())
+    assert back == [(i, [*x, 0]) for i, x in enumerate(tokens(texts))]
+
+
+def test_a_store_of_no_documents(spark):
+    root = new_dir(spark, "test")
+    idstore.write_store(spark.createDataFrame([], SCHEMA), BYTE, root)
+    assert idstore.read_digests(spark, root).isEmpty() and idstore.read_documents(spark, root).isEmpty()
+
+
 def test_equal_documents_share_chunks(spark):
     text = "some words that are long enough to make several chunks, number " + " ".join(map(str, range(3000)))
     root = new_dir(spark, "test")
