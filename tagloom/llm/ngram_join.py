@@ -275,7 +275,7 @@ def _cross(t: Fraction, turn: int | None = None):
             for batch in batches:
                 if batch.num_rows:
                     cols = [batch.column(c).to_numpy() for c in ("key", "fp", "n", "pos", "root")]
-                    cols.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, 64))
+                    cols.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, 64) if turn is None else np.zeros((batch.num_rows, 0), np.uint8))
                     if left is not None:
                         cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
                     others = np.flatnonzero(cols[0] != cols[0][-1])
@@ -404,7 +404,9 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
     while True:
         last = turn == TURNS
         rooted = entries.join(roots, entries["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
-        rooted = rooted.join(sketches.select("fp", "sketch"), "fp")
+        if last:  # only members of lists that are in several components are compared by their sketches
+            several = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("key")
+            rooted = rooted.join(several, "key", "left_semi").join(sketches.select("fp", "sketch"), "fp")
         crossing = rooted.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_cross(t, None if last else turn), "a long, b long")
         crossing = stored(crossing.distinct().join(tested, ["a", "b"], "left_anti"), "ngram-crossing")
         more = compared(crossing)
