@@ -381,16 +381,19 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
     first = stored(runs.where("kind = 1").select("a", "b").distinct(), "ngram-pairs")
     wanted = runs.where("kind = 0").select(F.col("a").alias("fp")).distinct()
     at = classes.join(wanted, "fp", "left_semi").select("fp", "doc_id")
-    texts = stored(docs.join(at, "doc_id").select("fp", "text").mapInArrow(_texts(size), "fp long, text string").dropDuplicates(["fp"]), "ngram-texts")
+    # these tables grow with the input, so no join broadcasts them at a size where it could. Equal rows go where the join
+    # has brought them together; rows of one doc_id and set with different texts may both stay and link alike
+    wanted_texts = docs.join(at.hint("merge"), "doc_id").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "fp", "text_hash"])
+    texts = stored(wanted_texts.select("fp", "text").mapInArrow(_texts(size), "fp long, text string"), "ngram-texts")
 
     sketches = classes.select("fp", "n", "sketch")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """The linked ones of the pairs; texts are fetched only for those that sizes and sketches leave."""
         for c in "ab":
-            pairs = pairs.join(sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+            pairs = pairs.join(sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge"), c)
         likely = stored(pairs.mapInArrow(_likely(t), "a long, b long"), "ngram-likely")
-        b = likely.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
+        b = likely.hint("merge").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
         first_texts = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")).join(likely.select("a").distinct(), "a", "left_semi")
         linked = b.join(first_texts, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify(size, t), "u long, v long")
         linked = stored(linked, "ngram-linked")
@@ -403,10 +406,10 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
     tested, turn = first, 0
     while True:
         last = turn == TURNS
-        rooted = entries.join(roots, entries["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+        rooted = entries.join(roots.hint("merge"), entries["fp"] == roots["node"], "left").select("key", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
         if last:  # only members of lists that are in several components are compared by their sketches
             several = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("key")
-            rooted = rooted.join(several, "key", "left_semi").join(sketches.select("fp", "sketch"), "fp")
+            rooted = rooted.join(several.hint("merge"), "key", "left_semi").join(sketches.select("fp", "sketch").hint("merge"), "fp")
         crossing = rooted.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_cross(t, None if last else turn), "a long, b long")
         crossing = stored(crossing.distinct().join(tested, ["a", "b"], "left_anti"), "ngram-crossing")
         more = compared(crossing)
