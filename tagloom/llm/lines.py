@@ -78,7 +78,9 @@ def segment_keys(lines: DataFrame, share: int, most: int, tau: int) -> DataFrame
     t, less, base, longer, i = (F.col(c) for c in ("t", "less", "base", "longer", "i"))
     # the last ``longer`` segments have one unit more
     at = at.withColumn("start", base * i + F.greatest(F.lit(0), longer - (t + 1 - i))).withColumn("size", base + F.when(t + 1 - i <= longer, 1).otherwise(0))
-    at = at.select("*", F.explode(F.sequence(F.greatest(-i, less - (t - i)), F.least(i, less + t - i))).alias("off"))
+    # lines of one length look for each other: with one insertion and one deletion, in one of the two directions the insertion comes first
+    lowest = F.when((less == 0) & (t <= 3), F.lit(0)).otherwise(F.greatest(-i, less - (t - i)))
+    at = at.select("*", F.explode(F.sequence(lowest, F.least(i, less + t - i))).alias("off"))
     key = F.xxhash64("worded", "i", "m", F.slice("u", F.col("start") + F.col("off") + 1, F.col("size")))
     key = F.shiftleft(key, 1).bitwiseOR(F.col("worded").cast("long"))
     return at.select("id", key.alias("key"), ((less == 0) & (F.col("off") == 0)).alias("own"))
@@ -194,21 +196,23 @@ def _across(met: DataFrame, roots: DataFrame, texts: DataFrame, share: int, most
     several = rooted.withColumn("one", F.min("root").over(w)).withColumn("other", F.max("root").over(w)).withColumn("found", F.max("own").over(w)).where("one < other and found").select("key", "id", "own", "root")
     several = stored(several, "lines-several")
     worded = F.col("key").bitwiseAND(F.lit(1)) == 1
-    lines = several.join(texts, "id").withColumn("differ", F.when(worded, F.least(F.lit(most), _div(F.col("words"), share))).otherwise(GRAM * tau))
-    lines = _once(lines.withColumn("parity", F.when(worded, F.col("by_word")).otherwise(F.col("by_gram"))), "tokens", F.array_distinct(F.when(worded, F.split("line", " ")).otherwise(_grams(F.col("line")))))
+    told = lambda df: df.join(texts, "id").withColumn("differ", F.when(worded, F.least(F.lit(most), _div(F.col("words"), share))).otherwise(GRAM * tau))
+    lines = _once(told(several.select("key", "id")), "tokens", F.array_distinct(F.when(worded, F.split("line", " ")).otherwise(_grams(F.col("line")))))
     # all tokens of lines with few different ones: their rarest may all be other ones
     first = F.when(F.size("tokens") <= 2 * F.col("differ"), F.size("tokens")).otherwise(F.col("differ") + 1)
-    lines = lines.select("key", "id", "own", "root", "differ", "parity", first.alias("first"), F.explode("tokens").alias("token")).withColumn("token", F.xxhash64("token"))
+    lines = lines.select("key", "id", first.alias("first"), F.explode("tokens").alias("token")).withColumn("token", F.xxhash64("token"))
     ranked = lines.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key", "token")))
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("key", "id").orderBy("n", "token"))).where("rank <= first and n > 1")
-    ranked = stored(ranked.select("key", "token", "id", "own", "root", "differ", "parity"), "lines-ranked")
+    # what else a line carries joins the few tokens that are left
+    attributes = told(several).select("key", "id", "own", "root", "differ", F.when(worded, F.col("by_word")).otherwise(F.col("by_gram")).alias("parity"))
+    ranked = stored(ranked.select("key", "token", "id").join(attributes, ["key", "id"]).select("key", "token", "id", "own", "root", "differ", "parity"), "lines-ranked")
     # the component of most lines isn't joined with itself
     counts = ranked.groupBy("key", "token", "root").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("key", "token").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    told = ranked.join(main, ["key", "token"])
-    few = told.where("root <> main").select("key", "token", F.col("id").alias("mate"), F.col("own").alias("mate_own"), F.col("root").alias("mate_root"), F.col("differ").alias("mate_differ"), F.col("parity").alias("mate_parity"))
+    placed = ranked.join(main, ["key", "token"])
+    few = placed.where("root <> main").select("key", "token", F.col("id").alias("mate"), F.col("own").alias("mate_own"), F.col("root").alias("mate_root"), F.col("differ").alias("mate_differ"), F.col("parity").alias("mate_parity"))
     near = _apart(F.col("parity"), F.col("mate_parity")) <= 2 * F.least("differ", "mate_differ")
-    cross = told.join(few, ["key", "token"]).where((F.col("root") != F.col("mate_root")) & (F.col("own") | F.col("mate_own")) & near).select(*_pairs(F.col("id"), F.col("mate"))).distinct()
+    cross = placed.join(few, ["key", "token"]).where((F.col("root") != F.col("mate_root")) & (F.col("own") | F.col("mate_own")) & near).select(*_pairs(F.col("id"), F.col("mate"))).distinct()
     return cross, (several, ranked)
 
 
@@ -238,7 +242,7 @@ def repeated_lines(docs: DataFrame, share: int = 10, most: int = 3, tau: int = 2
 
     w = W.partitionBy("key")
     met = keys.withColumn("low", F.min(F.when(F.col("own"), F.col("id"))).over(w)).withColumn("least", F.min("id").over(w)).withColumn("top", F.max("id").over(w))
-    met = stored(met.where("low is not null and least < top").select("key", "id", "own", "low").distinct(), "lines-met")
+    met = stored(met.where("low is not null and least < top").groupBy("key", "id", "low").agg(F.max("own").alias("own")), "lines-met")
 
     star = stored(met.where("id <> low").select(*_pairs(F.col("id"), F.col("low"))).distinct(), "lines-pairs")
     places = firsts.join(met.select("id").distinct(), "id", "left_semi").groupBy("first.doc", "first.text_hash").agg(F.collect_list(F.struct("id", "first.pos")).alias("places"))
@@ -277,7 +281,7 @@ def dedup_lines(docs: DataFrame, share: int = 10, most: int = 3, tau: int = 2, l
     keyed = docs.select(row.alias("row")).withColumn("doc", F.col("row.doc_id").cast("long")).withColumn("text_hash", F.xxhash64("row.text"))
     # a table of what goes in each partition, so that whole texts aren't sorted
     joined = keyed.join(gone.hint("shuffle_hash"), keyed["doc"].eqNullSafe(gone["doc_"]) & (keyed["text_hash"] == gone["hash_"]), "left")
-    count = F.when(F.col("row.text").isNotNull(), F.char_length("row.text") - F.char_length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    count = F.when(F.col("row.text").isNotNull(), F.octet_length("row.text") - F.octet_length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     kept = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.transform("removed", lambda r: r["line"])), lambda i: F.get(x, i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(_let(F.split("row.text", "\n", -1), kept))
     return joined.select("row", count.cast("long").alias("n_lines"), F.coalesce("removed", F.expr("cast(array() as array<struct<line:int,first_doc:bigint,first_line:int>>)")).alias("removed"), text.alias("text"))

@@ -211,6 +211,28 @@ def test_lines_with_replaced_words(spark):
     assert sum(t == "" for t in got.values()) > 100
 
 
+def test_alike_lines_share_a_key(spark):
+    """One of two alike lines is found under a key of the other, wherever words come in and go."""
+    rng = random.Random(31)
+    pairs = []
+    for size in [10, 11, 12, 15, 19, 20, 21, 24, 29, 30, 31, 33, 35, 40, 47, 60] * 25:
+        a = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(rng.choice([2, 40]))) for _ in range(size)]
+        b = list(a)
+        for kind in rng.choice([("ins", "del"), ("del", "ins"), ("ins", "del", "put"), ("del", "put", "ins"), ("ins",), ("del", "del"), ("ins", "ins", "del"), ("put", "put", "put")]):
+            k = rng.randrange(len(b))
+            b[k : k + (kind != "ins")] = [] if kind == "del" else [f"new{rng.randrange(9)}"]
+        if distance(a, b) <= min(3, min(len(a), len(b)) // 10) and min(len(a), len(b)) >= lines.WORDS:
+            pairs.append((a, b))
+    df = spark.createDataFrame([(2 * i + k, " ".join(x)) for i, p in enumerate(pairs) for k, x in enumerate(p)], "id bigint, line string").where(F.char_length("line") >= lines.NEAR)
+    keys = {}
+    for r in lines.segment_keys(df, 10, 3, 2).where("key % 2 <> 0").collect():
+        keys.setdefault(r["id"], {}).setdefault(r["key"], set()).add(r["own"])
+    assert len(pairs) > 150
+    for i in range(len(pairs)):
+        a, b = keys[2 * i], keys[2 * i + 1]
+        assert any(True in a[k] | b[k] for k in a.keys() & b.keys()), pairs[i]
+
+
 def test_lines_of_a_template(spark, monkeypatch):
     """Lines that share segments but aren't alike aren't compared, and those that are still meet."""
     rng = random.Random(12)
