@@ -1,7 +1,8 @@
 """Files and directories in a shared store: whole writes, publishing, mirrors and run state.
 
 All go through the file system that Spark knows for the path, on the driver; executors write
-through Spark's own commit. A reader sees a whole file or directory, or none.
+through Spark's own commit. A reader sees a whole file or directory, or none: where one replaces
+another, that takes two renames, with none between them.
 """
 
 from __future__ import annotations
