@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "quality", "langid", "lines", "idstore", "warc", "tokencount", "mixing", "cosine", "sentencepieces", "urlfilter", "resample")
+MODULES = ("ngram_join", "quality", "langid", "lines", "idstore", "warc", "tokencount", "mixing", "cosine", "sentencepieces", "urlfilter", "search", "resample")
 
 
 def queries() -> dict:

@@ -86,10 +86,10 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.nda
     return mix(h)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of all words, and the index of each document's first word (one entry more than documents)."""
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of all words (runs without a byte of ``gap``), and the index of each document's first word (one entry more than documents)."""
     n = int(offsets[-1])
-    solid = ~SPACE[data[:n]]
+    solid = ~gap[data[:n]]
     # a word begins where a solid byte follows white space or a document's start
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
