@@ -172,7 +172,7 @@ class Shard:
         self.docs, self.terms, self.starts = read("docs", "<i8"), read("terms", "<u8"), read("starts", "<i8")
         impact = read("impacts", "<i4")
         n, self.levels = len(impact), (max(1, len(self.docs)) - 1).bit_length()
-        bits = read("bits", np.uint8).reshape(self.levels, -1) if n else np.zeros((self.levels, 0), np.uint8)
+        bits = read("bits", np.uint8).reshape(self.levels, (n + 7) // 8)
         self.ones = np.zeros((self.levels, n + 1), np.int32)
         self.impacts = np.empty((self.levels + 1, n), np.int32)
         self.impacts[0] = impact
