@@ -31,10 +31,12 @@ def words(text: Column) -> Column:
 def buckets(words_: Column, longest: int = 1, count: int = BUCKETS) -> Column:
     """Bucket of every run of 1 to ``longest`` words: crc32 of its UTF-8 bytes modulo ``count``."""
     bucket = lambda run: (F.crc32(run.cast("binary")) % count).cast("int")
-    runs = [F.transform(words_, bucket)]
-    for n in range(2, longest + 1):
+
+    def of(n: int) -> Column:
         starts = F.when(F.size(words_) >= n, F.sequence(F.lit(1), F.size(words_) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: bucket(F.array_join(F.slice(words_, i, n), " "))))
+        return F.transform(starts, lambda i: bucket(F.array_join(F.slice(words_, i, F.lit(n)), " ")))
+
+    runs = [F.transform(words_, bucket), *map(of, range(2, longest + 1))]
     return runs[0] if longest == 1 else F.concat(*runs)
 
 
