@@ -4,6 +4,10 @@
 archive, (shard_index, shard, member_ord, name, kind, key, payload). Filters on kind are taken over
 by the scan, so image bytes that a plan doesn't ask for are never read; ``payload`` = ``false``
 leaves all bytes out. Archives are read from the start to the end, a member at a time.
+
+With ``cache``, shards are fetched into that folder first, also from addresses: a task reads
+``shards_per_task`` of them one after the other, with ``ahead`` in the cache at most, and deletes those
+that it fetched once they are read. ``decode`` members are read before they are asked for.
 """
 
 from __future__ import annotations
@@ -12,15 +16,18 @@ import io
 import json
 import os
 import tarfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from tagloom.functions import paths
 from tagloom.functions.paths import IMAGE_ENDINGS
+from tagloom.sources import ahead, fetch, shared
+from tagloom.sources.archives import ArchiveWriter
 
 MEMBERS = "shard_index bigint, shard string, member_ord bigint, name string, kind string, key string, payload binary"
 LATENTS = "shard_index bigint, shard string, sample_ord bigint, sample_id string, shape array<int>, latent array<float>, metadata string"
@@ -55,19 +62,44 @@ def _open(path: str):
 
 
 @dataclass
-class Shard(InputPartition):
-    index: int
-    path: str
+class Run(InputPartition):
+    """Shards that one task reads: (index, source, address, name in the cache)."""
+
+    shards: list[tuple[int, str, str, str]]
 
-    def __init__(self, index: int, path: str):
-        self.index, self.path = index, path
+    def __init__(self, shards: list[tuple[int, str, str, str]]):
+        self.shards = shards
 
 
-def _shards(options: dict) -> list[Shard]:
-    names = [s for s in options.get("shards", options.get("path", "")).split("\n") if s.strip()]
-    if not names:
+def _runs(options: dict) -> list[Run]:
+    """``shards``: one a line, its address and its name in the cache behind tabs where they are fetched."""
+    lines = [s.strip().split("\t") for s in options.get("shards", options.get("path", "")).split("\n") if s.strip()]
+    if not lines:
         raise ValueError("option shards is empty")
-    return [Shard(i, s.strip()) for i, s in enumerate(names)]
+    shards = [(i, x[0], *(x[1:] or (x[0], ""))) for i, x in enumerate(lines)]
+    each = int(options.get("shards_per_task", 1))
+    return [Run(shards[a : a + each]) for a in range(0, len(shards), each)]
+
+
+def _opened(run: Run, options: dict) -> Iterator[tuple[int, str, str]]:
+    """(index, source, path) of a task's shards in order, each in the cache from when it is given until the next is asked for."""
+    cache = options.get("cache")
+    if not cache:
+        yield from ((i, s, s) for i, s, _, _ in run.shards)
+        return
+    how = fetch.Transfer(int(options.get("tries", 4)), float(options.get("wait", 1.0)), float(options.get("timeout", 120)), options.get("token"))
+
+    def get(shard: tuple[int, str, str, str]) -> tuple[int, str, str, bool]:
+        i, source, address, name = shard
+        had = shared.size_of(f"{cache}/{name}") is not None
+        return i, source, how.one(address, cache, name), not had
+
+    def used(got: tuple[int, str, str, bool]) -> None:
+        if got[3] and str(options.get("delete", "true")).lower() == "true":
+            system, at = shared.files(got[2])
+            system.delete_file(at)
+
+    yield from (g[:3] for g in ahead.in_flight(run.shards, get, int(options.get("ahead", 2)), used))
 
 
 class TarMembers(DataSource):
@@ -95,16 +127,20 @@ class TarMemberReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Shard]:
-        return _shards(self.options)
+    def partitions(self) -> list[Run]:
+        return _runs(self.options)
 
-    def read(self, part: Shard) -> Iterator[tuple]:
+    def read(self, part: Run) -> Iterator[tuple]:
+        yield from ahead.decoded(self._members(part), int(self.options.get("decode", 0)))
+
+    def _members(self, part: Run) -> Iterator[tuple]:
         wanted = str(self.options.get("payload", "true")).lower() == "true"
-        with _open(part.path) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
-            for ord_, member in enumerate(tar):
-                found = classify(member.name) if member.isfile() else None
-                if found and (self.kinds is None or found[1] in self.kinds):
-                    yield part.index, part.path, ord_, member.name, found[1], found[0], tar.extractfile(member).read() if wanted else None
+        for index, source, path in _opened(part, self.options):
+            with _open(path) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+                for ord_, member in enumerate(tar):
+                    found = classify(member.name) if member.isfile() else None
+                    if found and (self.kinds is None or found[1] in self.kinds):
+                        yield index, source, ord_, member.name, found[1], found[0], tar.extractfile(member).read() if wanted else None
 
 
 class LatentTar(DataSource):
@@ -128,11 +164,12 @@ class LatentReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> list[Shard]:
-        return _shards(self.options)
+    def partitions(self) -> list[Run]:
+        return _runs(self.options)
 
-    def read(self, part: Shard) -> Iterator[tuple]:
-        yield from ((part.index, part.path, i, *s) for i, s in enumerate(latent_samples(part.path)))
+    def read(self, part: Run) -> Iterator[tuple]:
+        for index, source, path in _opened(part, self.options):
+            yield from ahead.decoded(((index, source, i, *s) for i, s in enumerate(latent_samples(path))), int(self.options.get("decode", 0)))
 
 
 def latent_samples(path: str) -> Iterator[tuple[str, list[int], list[float], str]]:
@@ -153,51 +190,26 @@ def latent_samples(path: str) -> Iterator[tuple[str, list[int], list[float], str
         raise ValueError(f"{path}: {len(halves)} samples lack a half, {next(iter(halves))} among them")
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    temporary: str
-    final: str
-    samples: int
-
-
-class LatentWriter(DataSourceWriter):
-    """Rows (sample_id, shape, latent, metadata, ...) to an archive a task, under a temporary name until all tasks are done."""
+class LatentWriter(ArchiveWriter):
+    """Rows (sample_id, shape, latent, metadata, ...) to an archive a task, which is put in its place once all tasks are done."""
 
     def __init__(self, path: str):
-        self.path = path
+        super().__init__(path, "replace")
 
-    def write(self, rows) -> Written:
+    def write(self, batches):
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
-        final = os.path.join(self.path, f"latent-{TaskContext.get().partitionId():05d}.tar")
-        temporary, n = f"{final}.{uuid.uuid4().hex}.partial", 0
-        try:
-            with tarfile.open(temporary, "w") as tar:
-                for r in rows:
+        archive = f"latent-{TaskContext.get().partitionId():05d}.tar"
+
+        def members():
+            for batch in batches:
+                for r in batch.to_pylist():
                     buffer = io.BytesIO()
                     np.save(buffer, np.array(r["latent"], np.float16).reshape(r["shape"]), allow_pickle=False)
-                    for end, payload in ((".latent.npy", buffer.getvalue()), (".json", (r["metadata"] or "{}").encode())):
-                        info = tarfile.TarInfo(r["sample_id"] + end)
-                        info.size, info.mtime, info.mode = len(payload), 0, 0o644
-                        tar.addfile(info, io.BytesIO(payload))
-                    n += 1
-        except BaseException:
-            os.unlink(temporary)
-            raise
-        return Written(temporary, final, n)
-
-    def commit(self, messages) -> None:
-        for m in messages:
-            if m and m.samples:
-                os.replace(m.temporary, m.final)
-            elif m:
-                os.unlink(m.temporary)
-
-    def abort(self, messages) -> None:
-        for m in messages:
-            if m and os.path.exists(m.temporary):
-                os.unlink(m.temporary)
+                    pair = [(archive, r["sample_id"] + ".latent.npy", buffer.getvalue()), (archive, r["sample_id"] + ".json", (r["metadata"] or "{}").encode())]
+                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pair]) for i in range(3)], names=["archive", "name", "payload"])
+
+        return super().write(members())
 
 
 def register(spark: SparkSession) -> None:
@@ -206,9 +218,19 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def members(spark: SparkSession, shards: list[str], payload: bool = True) -> DataFrame:
+def listed(spark: SparkSession, shards: list[str]) -> str:
+    """Option ``shards`` for a reader that fetches: source, address and name in the cache."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(list(enumerate(shards)), "i int, source string").withColumn("address", paths.hub_address(F.col("source")))
+    return "\n".join(f"{r['source']}\t{r['address']}\t{r['name']}" for r in rows.withColumn("name", paths.cache_name(F.col("address"))).orderBy("i").collect())
+
+
+def members(spark: SparkSession, shards: list[str], payload: bool = True, cache: str | None = None, **options) -> DataFrame:
+    """Members of the shards; with ``cache`` they are fetched into that folder, see above for the options."""
     register(spark)
-    return spark.read.format("tar_members").option("shards", "\n".join(shards)).option("payload", str(payload).lower()).load()
+    reader = spark.read.format("tar_members").option("shards", listed(spark, shards) if cache else "\n".join(shards)).option("payload", str(payload).lower())
+    return reader.options(**({"cache": cache} if cache else {}), **options).load()
 
 
 def sidecars(members_: DataFrame) -> DataFrame:
