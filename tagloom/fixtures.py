@@ -87,3 +87,26 @@ def latents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LATENTS = """
 latents as (select vec_id, embedding::double[] as clean, list_reverse(embedding::double[]) as noise, (vec_id % 11) / 10.0::double as t from embeddings)"""
+
+
+def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, key, ord, pixels of one channel, shape and metadata: 50 documents a source, two shapes; every 19th sample and every 7th source can't be encoded."""
+    i = F.col("doc_id")
+    h, w = F.when(i % 2 == 0, 32).otherwise(48), F.when(i % 2 == 0, 48).otherwise(32)
+    broken = (i % 19 == 0) | (F.floor(i / 50) % 7 == 3)
+    place = lambda p, ww: F.floor(F.floor(p / ww) / 16) * F.floor(ww / 16) + F.floor(p % ww / 16)
+    pixel = lambda p: (F.pmod(F.col("doc_id") * 7 + place(p, F.col("w")) * 3, F.lit(32)) / 8 - 2).cast("float")
+    d = table(spark, sf_dir, "documents").select(i, h.alias("h"), w.alias("w"), broken.alias("broken"))
+    pixels = F.transform(F.sequence(F.lit(0), F.when(F.col("broken"), 99).otherwise(1535)), pixel)
+    return d.select(
+        F.concat(F.lit("/raw/"), F.format_string("%04d", F.floor(i / 50)), F.lit(".tar")).alias("source"),
+        F.concat(F.lit("d"), (i % 3).cast("string"), F.lit("/"), i.cast("string")).alias("key"),
+        i.alias("ord"), pixels.alias("pixels"), F.array(F.lit(1), "h", "w").alias("shape"),
+        F.to_json(F.struct(F.concat("w", F.lit("x"), "h").alias("bucket"))).alias("metadata"),
+    )
+
+
+RAW = """
+raw as (select doc_id, concat('/raw/', printf('%04d', doc_id//50), '.tar') as source, concat('d', doc_id%3, '/', doc_id) as key,
+ doc_id%19=0 or (doc_id//50)%7=3 as broken, case when doc_id%2=0 then [1,2,3] else [1,3,2] end as shape,
+ list_transform(range(0, 6), lambda b: ((doc_id*7 + b*3)%32/8.0::double - 2)) as latent from documents)"""

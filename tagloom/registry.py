@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tagloom import plans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("geometry", "index", "ingest", "captions", "batches", "numeric", "lifecycle")
+MODULES = ("geometry", "index", "ingest", "captions", "batches", "numeric", "lifecycle", "produce")
 
 
 def _load() -> None:

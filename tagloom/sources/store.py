@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import Future, ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.operators import index
@@ -21,6 +22,7 @@ from tagloom.operators.lifecycle import REQUIRED
 
 # The manifest of a published index and its version, the pointer to the newest checkpoint.
 MANIFEST, VERSION, LATEST = "_index_manifest.json", 2, "latest"
+CURRENT = "_current"
 
 
 def _at(spark: SparkSession, path: str):
@@ -28,6 +30,20 @@ def _at(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _swap_file(spark: SparkSession, path: str, to: str) -> None:
+    """One rename that also replaces ``to``, where the file system can do that; else ``replace``."""
+    jvm = spark.sparkContext._jvm
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    (system, p), (_, q) = _at(spark, path), _at(spark, to)
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    except Py4JJavaError:  # a store without a file context
+        replace(spark, path, to)
+        return
+    context.rename(system.makeQualified(p), system.makeQualified(q), overwrite)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     system, p = _at(spark, path)
     return system.exists(p)
@@ -86,7 +102,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    replace(spark, part, path)
+    retried(lambda: _swap_file(spark, part, path))
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -101,6 +117,34 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def current(spark: SparkSession, root: str) -> str | None:
+    """Where the current version of a published directory lies; None before the first."""
+    name = read_text(spark, f"{root}/{CURRENT}")
+    return f"{root}/{name}" if name else None
+
+
+def publish_version(spark: SparkSession, root: str, write: Callable[[str], object], check: Callable[[str], object] | None = None, keep: int = 2) -> str:
+    """Write a new version below ``root`` with ``write(path)``, let ``check(path)`` raise, then switch the pointer; its path.
+
+    Versions are never changed, and the pointer is one file that one rename replaces, so a reader finds
+    the old or the new version and can finish reading the old one: the last ``keep`` stay. A crash
+    before the switch leaves the old version current; what it wrote goes at the next publication.
+    """
+    name = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    at = f"{root}/{name}"
+    write(at)
+    if check:
+        check(at)
+    before = current(spark, root)
+    write_text(spark, f"{root}/{CURRENT}", name)
+    versions = [n for n in names(spark, root) if n.startswith("v-")]  # oldest first
+    held = {name, *versions[-keep:], *([before.rpartition("/")[2]] if before and keep > 1 else [])}
+    for n in versions:
+        if n not in held:
+            delete(spark, f"{root}/{n}")
+    return at
+
+
 def publish(spark: SparkSession, rows: DataFrame, to: str, source: str) -> dict:
     """Write an index beside ``to`` with a manifest of its figures, then put it in its place; the manifest.
 

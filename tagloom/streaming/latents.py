@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from tagloom.operators import batching
+from tagloom.operators.encode import Encoder, block_means, encoded  # noqa: F401
 from tagloom.sources.tars import latent_samples
 
 SCHEMA = "epoch bigint, shard_index bigint, sample_index bigint, shard string, sample_id string, shape array<int>, latent array<float>, metadata string"
@@ -85,43 +86,6 @@ def latent_stream(spark: SparkSession, shards: list[str], seed: int = 0, epochs:
     return reader.option("epoch", cursor[0]).option("shard", cursor[1]).option("sample", cursor[2]).load()
 
 
-Encoder = Callable[[np.ndarray], np.ndarray]
-
-
-def block_means(pixels: np.ndarray, step: int = 16) -> np.ndarray:
-    """Stand-in for an image encoder: means of 16 x 16 pixels, channels kept."""
-    c, h, w = pixels.shape
-    return pixels.reshape(c, h // step, step, w // step, step).mean((2, 4))
-
-
-def encoded(samples: DataFrame, encoder: Encoder = block_means, most: int = 16) -> DataFrame:
-    """Samples (pixels array<float>, shape array<int>) with latent and latent_shape.
-
-    The encoder sees one sample's pixels at a time and may raise MemoryError: then half as many
-    samples are held at once from there on, down to one.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limit = most
-        for batch in batches:
-            at = 0
-            while at < len(batch):
-                part = batch.iloc[at : at + limit]
-                try:
-                    out = [encoder(np.array(p, np.float32).reshape(s)) for p, s in zip(part["pixels"], part["shape"], strict=True)]
-                except MemoryError:
-                    if limit == 1:
-                        raise
-                    limit = max(1, limit // 2)
-                    continue
-                at += len(part)
-                yield part.drop(columns="pixels").assign(latent=[x.ravel().tolist() for x in out], latent_shape=[list(x.shape) for x in out])
-
-    fields = [f for f in samples.schema.fields if f.name != "pixels"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", latent array<float>, latent_shape array<int>"
-    return samples.mapInPandas(run, schema)
-
-
 def rolling_epoch(samples: DataFrame, block: int, batch: int, accumulate: int, before_encode: Callable[[], None] | None = None, before_train: Callable[[], None] | None = None) -> DataFrame:
     """The emitted samples of an epoch with group_no and the safe cursor, hooks called around the two phases."""
     if before_encode:
