@@ -54,7 +54,7 @@ def produce(samples: DataFrame, root: str, stage: str, encoder: Encoder = block_
     part = F.pmod(F.xxhash64("key"), F.col("__parts")).cast("int")
     named = made.withColumn("archive", output_name(F.col("source"), stage, part)).withColumn("sample_id", hash_id(24, F.col("source"), F.col("key")))
     ordered = archives.latent_members(named, "ord")
-    archives.write(ordered, root, ["order"])
+    archives.write(ordered, root, archives.LATENT_ORDER)
     written = archives.latent_places(archives.archive_paths(spark, root)).groupBy("latent_path").agg(F.count(F.lit(1)).alias("encoded"))
     written = written.select(F.regexp_extract("latent_path", r"(latent/[^/]+/latent-[0-9a-f]+)(?:-\d+)?\.tar$", 1).alias("stem"), "encoded").groupBy("stem").agg(F.sum("encoded").alias("encoded"))
     report = counts.withColumn("stem", F.regexp_replace(output_name(F.col("source"), stage), r"\.tar$", "")).join(written, "stem", "left")
@@ -101,7 +101,7 @@ def cache_latents(images: DataFrame, root: str, encoder: Encoder = block_means,
     archive = F.concat(F.lit(f"latents/{run}/"), F.format_string("%05d", F.pmod(F.xxhash64("sample_id"), F.lit(files))), F.lit(".tar"))
     made = encoded(todo.select("sample_id", "bucket", "pixels", "shape"), encoder, most)
     named = made.select("sample_id", "latent", "latent_shape", F.to_json(F.struct("bucket")).alias("metadata"), archive.alias("archive"))
-    archives.write(archives.latent_members(named), root, ["order"])
+    archives.write(archives.latent_members(named), root, archives.LATENT_ORDER)
     fresh = archives.latent_places(archives.archive_paths(spark, f"{root}/latents/{run}"))
     places = fresh if overwrite else held.unionByName(fresh)
     out = wanted.select("sample_id", "image_path", "bucket", "preprocess_geometry").join(places, "sample_id").select(*[c.split(" ")[0] for c in CACHED.split(", ")])

@@ -27,6 +27,8 @@ from tagloom.sources import shared
 #: Bytes of archive that one task of ``latents_at`` reads through.
 REGION = 256 << 20
 LATENT, METADATA = ".latent.npy", ".json"
+#: Columns by which a sample's two members come after each other, the samples in their order.
+LATENT_ORDER = ["order", "sample_id", "place"]
 
 
 @dataclass
@@ -115,12 +117,12 @@ def npy(values: pd.Series, shapes: pd.Series) -> pd.Series:
 
 
 def latent_members(samples: DataFrame, order: str = "sample_id") -> DataFrame:
-    """archive, name, payload and ``order`` of the two members of each sample (archive, sample_id, latent, latent_shape, metadata)."""
+    """archive, name, payload and LATENT_ORDER of the two members of each sample (archive, sample_id, latent, latent_shape, metadata)."""
     pair = F.array(
         F.struct(F.concat("sample_id", F.lit(LATENT)).alias("name"), npy("latent", "latent_shape").alias("payload")),
         F.struct(F.concat("sample_id", F.lit(METADATA)).alias("name"), F.coalesce("metadata", F.lit("{}")).cast("binary").alias("payload")),
     )
-    return samples.select("archive", F.col(order).alias("order"), F.explode(pair).alias("m")).select("archive", "order", "m.*")
+    return samples.select("archive", F.col(order).alias("order"), "sample_id", F.posexplode(pair).alias("place", "m")).select("archive", *LATENT_ORDER, "m.*")
 
 
 def archive_paths(spark: SparkSession, root: str) -> DataFrame:
