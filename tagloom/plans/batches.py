@@ -100,12 +100,18 @@ def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.text_windows(b, 26, 8)
 
 
+@query("""with recursive s as (select event_id as batch_no, event_id*event_id%7 as size, sum(event_id*event_id%7) over (order by event_id)::bigint - event_id*event_id%7 as past from events),
+w as (select min(batch_no) as start, 0::bigint as text_window, 0::bigint as past from s
+ union all select n.batch_no, n.text_window, n.past from (select min(s.batch_no) as batch_no, w.text_window + 1 as text_window, min(s.past) as past from w join s on s.past >= w.past + 40 group by w.text_window) n where n.batch_no is not null)
+select s.batch_no, s.size, w.text_window, (s.past - w.past)//8 as encoder_batch from s asof join w on s.batch_no >= w.start""")
+def ragged_text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return batching.text_windows(fx.table(spark, sf_dir, "events").select(i.alias("batch_no"), (i * i % 7).alias("size")), 40, 8)
+
+
 @query(f"with {SAMPLES} select bucket, (row_number() over (partition by bucket order by id)-1)//16 as encode_batch, id from samples")
 def encode_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    at = F.row_number().over(W.partitionBy("bucket").orderBy("id")) - 1
-    return samples(spark, sf_dir).select("bucket", F.floor(at / 16).alias("encode_batch"), "id")
+    return batching.encode_batches(samples(spark, sf_dir), 16).select("bucket", "encode_batch", "id")
 
 
 @query(f"with {fx.MEMBERS}, s as (select shard_index, name, member_ord, nbytes, sum(nbytes) over (partition by shard_index order by member_ord)::bigint as upto from members) select *, upto<=100000 as fits from s")
