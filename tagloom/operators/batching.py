@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -97,12 +97,16 @@ def grouped(blocks: DataFrame, batch: int, accumulate: int) -> DataFrame:
     return placed.join(whole, ["bucket", "g"], "left").select(*blocks.columns, "emitted_block", "group_no")
 
 
-def safe_cursors(grouped: DataFrame) -> DataFrame:
+def _place(shard: int, sample: int) -> Column:
+    return F.struct(F.lit(shard).cast("bigint").alias("shard_index"), F.lit(sample).cast("bigint").alias("sample_index"))
+
+
+def safe_cursors(grouped: DataFrame, trained: tuple[int, int] | None = None) -> DataFrame:
     """group_no, shard_index and sample_index of the cursor that may be stored after each group.
 
     It lies just before the first sample that has been seen but not trained: in later groups of the
     same block, or left waiting by then; if there is none, at the last trained one. A shard never
-    changes on the way back, so the place may be -1.
+    changes on the way back, so the place may be -1. ``trained``: the last (shard, place) of an earlier call.
     """
     at = F.struct("shard_index", "sample_index")
     per = grouped.where("group_no is not null").groupBy("group_no", "emitted_block").agg(F.min(at).alias("low"), F.max(at).alias("high"))
@@ -117,7 +121,7 @@ def safe_cursors(grouped: DataFrame) -> DataFrame:
     ever = scan(ever.groupBy("k").agg(F.min("at").alias("low")), [], "k", {"at": ("min", F.col("low"))}).select("k", "at")
     still = passing.select("k", F.col("at").cast("struct<shard_index:bigint,sample_index:bigint>").alias("at")).unionByName(ever).groupBy("k").agg(F.min("at").alias("still"))
     out = per.withColumn("later", later).withColumn("here", F.max("high").over(inside)).join(blocks, F.col("emitted_block") == F.col("k")).drop("k").join(still, F.col("emitted_block") == F.col("k"), "left")
-    out = out.withColumn("trained", F.greatest("here", F.coalesce("past", "here")))
+    out = out.withColumn("trained", F.greatest("here", F.coalesce("past", "here"), *([_place(*trained)] if trained else [])))
     first = F.when(F.col("later").isNull(), F.col("still")).when(F.col("still").isNull(), F.col("later")).otherwise(F.least("later", "still"))
     cursor = F.when(first.isNotNull(), F.struct(first["shard_index"].alias("shard_index"), (first["sample_index"] - 1).alias("sample_index"))).otherwise(F.struct(F.col("trained.shard_index").alias("shard_index"), F.col("trained.sample_index").alias("sample_index")))
     return out.select("group_no", cursor.alias("c")).select("group_no", "c.shard_index", "c.sample_index")

@@ -7,7 +7,6 @@ import tarfile
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tagloom.sources import images, tars
 from tagloom.streaming import latents
@@ -115,18 +114,3 @@ def test_shard_lists(spark, tmp_path):
     (tmp_path / "e.txt").write_text("# none\n")
     with pytest.raises(ValueError):
         tars.shard_list(spark, str(tmp_path / "e.txt"))
-
-
-def test_encoder_halves_its_batches(spark):
-    df = spark.createDataFrame([(i, [float(i)] * 256, [1, 16, 16]) for i in range(5)], "id bigint, pixels array<float>, shape array<int>")
-    got = {r["id"]: (r["latent"], r["latent_shape"]) for r in latents.encoded(df).collect()}
-    assert got[3] == ([3.0], [1, 1, 1]) and len(got) == 5
-
-
-def test_rolling_epoch_calls_its_hooks(spark):
-    calls = []
-    rows = [(0, i, "a" if i % 3 else "b") for i in range(20)]
-    df = spark.createDataFrame(rows, "shard_index bigint, sample_index bigint, bucket string")
-    out = latents.rolling_epoch(df, 8, 2, 2, lambda: calls.append("encode"), lambda: calls.append("train"))
-    assert calls == ["encode", "train"] and out.count() % 4 == 0
-    assert out.groupBy("group_no").agg(F.count_distinct("bucket").alias("n")).where("n > 1").isEmpty()
