@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.rand import uniform
@@ -159,3 +159,9 @@ def model_errors(hidden: Column, heads: Column, patch: Column, depth: Column, ba
         ("attention_backend", ~backend.isin("sdpa", "flash_attention_2")),
     ]
     return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]), lambda x: x.isNotNull())
+
+
+def param_counts(shapes: DataFrame) -> DataFrame:
+    """section, parameters and tensors of a table of weights (section, shape array<bigint>); a scalar's empty shape counts one."""
+    size = F.aggregate("shape", F.lit(1).cast("bigint"), lambda a, x: a * x)
+    return shapes.groupBy("section").agg(F.sum(size).alias("parameters"), F.count(F.lit(1)).alias("tensors"))

@@ -214,6 +214,11 @@ def text_windows(batches: DataFrame, window: int, encode: int, run: int = RUN) -
     return sums.join(where, "__run").groupBy("__run").applyInPandas(lambda g: _run_windows(g, window, encode), f"{fields}, text_window long, encoder_batch long")
 
 
+def present_in_all(samples: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, samples and, for each column, whether all samples of the batch have it: only then the batch carries it."""
+    return samples.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), *[F.bool_and(F.col(c).isNotNull()).alias(c) for c in columns])
+
+
 def cache_budget(files: DataFrame, budget: int, order: str, size: str = "nbytes") -> DataFrame:
     """Files with the bytes up to each and whether it still fits the budget."""
     upto = F.sum(size).over(W.partitionBy("shard_index").orderBy(order))

@@ -95,3 +95,14 @@ def global_ordinals(samples_: DataFrame, part: str, order: list[str], name: str
 def pending(sources: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Sources without an output yet."""
     return sources.join(done.select(key).distinct(), key, "left_anti")
+
+
+def zipped(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Rows of two tables side by side by the ordinal ``on``; an error at the first row that the other table lacks.
+
+    Other columns must differ in name. Ordinals are unique in each table.
+    """
+    a, b = left.withColumn("__left", F.lit(True)), right.withColumn("__right", F.lit(True))
+    both = a.join(b, on, "full")
+    lone = F.raise_error(F.format_string("row %s has no partner", F.col(on).cast("string")))
+    return both.withColumn(on, F.when(F.col("__left") & F.col("__right"), F.col(on)).otherwise(lone.cast(both.schema[on].dataType))).drop("__left", "__right")

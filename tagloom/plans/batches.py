@@ -119,15 +119,18 @@ def cache_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.cache_budget(fx.members(spark, sf_dir), 100000, "member_ord")
 
 
-@query(f"with {SAMPLES} select shard_index, count(*) as samples, bool_and(id%2=0 or bucket<>'') as every, bool_and(id%50<>7) as some from samples group by shard_index")
+@query(f"with {fx.POSTS} select id//4 as batch_no, count(*) as samples, true as rating, bool_and(id%50<>7) as score, bool_and(id%11=0) as meta, false as is_banned from posts group by 1")
 def batch_optional_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples(spark, sf_dir).withColumn("a", F.when((F.col("id") % 2 == 0) | (F.col("bucket") != ""), 1)).withColumn("b", F.when(F.col("id") % 50 != 7, 1))
-    return s.groupBy("shard_index").agg(F.count(F.lit(1)).alias("samples"), F.bool_and(F.col("a").isNotNull()).alias("every"), F.bool_and(F.col("b").isNotNull()).alias("some"))
+    p = fx.posts(spark, sf_dir).select(F.floor(F.col("id") / 4).alias("batch_no"), "rating", F.when(F.col("id") % 50 != 7, F.col("score")).alias("score"), F.nullif("tag_string_meta", F.lit("")).alias("meta"), "is_banned")
+    return batching.present_in_all(p, ["batch_no"], ["rating", "score", "meta", "is_banned"])
 
 
-@query(f"with {SAMPLES}, a as (select id, row_number() over (order by id)-1 as ord from samples) select x.ord, x.id, y.id as mate from a x join a y on x.ord=y.ord")
+@query("select row_number() over (order by doc_id)-1 as ord, doc_id, lang as mate from documents")
 def ordered_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tagloom.operators.ingest import global_ordinals
+    """Documents beside what was made of them elsewhere, in their order and none without the other."""
+    from tagloom.operators.ingest import global_ordinals, zipped
 
-    s = global_ordinals(samples(spark, sf_dir).select("id", "shard_index"), "shard_index", ["id"], "ord").select("ord", "id")
-    return s.join(s.withColumnRenamed("id", "mate"), "ord")
+    d = fx.table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / 100))
+    numbered = global_ordinals(d.select("part", "doc_id"), "part", ["doc_id"], "ord").drop("part")
+    made = global_ordinals(d.select("part", F.col("doc_id").alias("key"), F.col("lang").alias("mate")).repartition(3), "part", ["key"], "ord").select("ord", "mate")
+    return zipped(numbered, made, "ord")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +10,15 @@ from tagloom.functions import paths
 from tagloom.operators import index
 from tagloom.plans import query
 from tagloom.plans.geometry import USABLE
+from tagloom.sources import shared, store
 
 MODULUS = 40
 PROJECTED = "id, rating, score, image_width, image_height, tag_string_general, tag_string_character, tag_string_copyright, tag_string_artist, tag_string_meta"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all machines see: below spark.checkpoint.dir, a temporary one only where that is unset."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        holder = tempfile.TemporaryDirectory(prefix="tagloom-plans-")
-        atexit.register(holder.cleanup)
-        shared = f"file://{holder.name}"
-    return f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
+    """A new folder that all machines see."""
+    return shared.new_dir(spark, "index")
 
 
 @query(f"with {fx.POSTS} select id, rating, 0 as score, image_width, image_height, tag_string_general, '' as tag_string_character, '' as tag_string_copyright, tag_string_artist, tag_string_meta from posts")
@@ -83,6 +74,17 @@ def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count_distinct("file").alias("files"))
 
 
+@query(f"with {fx.POSTS}, {INDEX} select bucket, count(*) as n, sum(id)::bigint as ids, 1::bigint as files, (select count(distinct bucket) from idx) as buckets, true as fewer from idx group by bucket")
+def published_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments that are current, compacted behind the pointer; what readers then find."""
+    root = scratch(spark)
+    store.publish_version(spark, root, lambda at: index.write(index.build(fx.posts(spark, sf_dir).repartition(4), MODULUS), at, False))
+    done = store.compact(spark, root)
+    got = index.read(spark, store.current(spark, root)).withColumn("file", F.input_file_name())
+    per = got.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count_distinct("file").alias("files"))
+    return per.withColumns({"buckets": F.lit(done["buckets"]).cast("bigint"), "fewer": F.lit(done["after"] < done["before"])})
+
+
 @query(f"with {fx.POSTS}, {INDEX} select id, bucket, rating from idx where bucket in ('0003','0017')")
 def partition_pruned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.read(spark, _written(spark, sf_dir), ["0003", "0017"]).select("id", "bucket", "rating")
@@ -123,3 +125,15 @@ def shard_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucket_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = index.build(fx.posts(spark, sf_dir), MODULUS)
     return idx.where("id % 3 = 0").select("bucket").union(idx.where("id % 5 = 0").select("bucket")).distinct()
+
+
+@query(f"with {fx.POSTS}, {INDEX} select bucket, count(*) as n, min(id) as least, 2::bigint as version, 'posts' as source, 'posts.parquet' as file, (select count(*) from idx) as rows_stated, true as usable, false as other from idx group by bucket")
+def published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index put in the place of an older one; what its manifest states and what readers find."""
+    at, rows = scratch(spark), index.build(fx.posts(spark, sf_dir), MODULUS)
+    store.publish(spark, rows.where("id % 2 = 0"), at, "posts", "older.parquet")
+    store.publish(spark, rows, at, "posts", "posts.parquet")
+    m = store.manifest_of(spark, at)
+    usable, other = store.published(spark, at, "posts", 30, 50, "posts.parquet"), store.published(spark, at, "posts", 30, 50, "older.parquet")
+    per = index.read(spark, at).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    return per.withColumns({"version": F.lit(m["version"]).cast("bigint"), "source": F.lit(m["source"]), "file": F.lit(m["file"]), "rows_stated": F.lit(m["rows"]).cast("bigint"), "usable": F.lit(usable), "other": F.lit(other)})

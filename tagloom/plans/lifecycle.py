@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tagloom import fixtures as fx
 from tagloom.functions import paths
-from tagloom.operators import lifecycle
+from tagloom.operators import lifecycle, preflight
 from tagloom.plans import query
+from tagloom.sources import shared, store
+from tagloom.streaming import metrics
 
 
 @query(f"with {fx.CHECKPOINTS} select root, name, step from checkpoints where has_model and has_state")
@@ -95,10 +97,57 @@ def preview_settings_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select(i, lifecycle.preview_errors(i % 7 != 0, i % 4, prompts, 32 * (i % 3), 16 * (i % 5), i % 6, i % 8 - 1.0, solver).alias("errors"))
 
 
-@query("select * from (values (0,'ok','backend','rolling_raw'),(1,'error','rolling block','30 samples, a step every 32'),(2,'error','prefetch','one shard at a time')) t(ord, level, name, message)")
+@query("""with c as (select event_id as i, event_id%7 as b7, event_id%5 as b5, event_id%11 as b11 from events),
+s as (select i::varchar as run, case when b7<4 then 'rolling_raw' when b7<6 then 'streaming_tar' else 'manifest' end as backend, case when b5=0 then 'flash_attention_2' else 'sdpa' end as attention, i%2=0 as there,
+ i%3=0 as checkpointing, i%13=0 as tracking, i%4=0 as login, b5-1 as acc, b7 as batch, (i%9)*12 as block, 1+(i%6=0)::int as prefetch, i%17 as cache, case b11 when 0 then 'none' when 1 then 'hub' when 2 then 'lost' when 3 then 'http' else 'here' end as shards,
+ i%19=0 as token, 1+i%3 as version, 880+i%260 as buckets, 880+i%300 as files, ['adamw','AdamW8bit','sgd'][i%3+1] as opt, i%8=0 as eight, i%10<5 as fallback, case when i%23=0 then 'int8' when i%23<12 then 'fp16' end as precision, i*1000 as free, case when i%29<9 then i%2=0 end as mirror from c),
+k as (select run, unnest([
+ {'ord': 0, 'name': 'attention', 'level': case when attention='flash_attention_2' then case when there then 'ok' else 'error' end end},
+ {'ord': 1, 'name': 'gradient checkpointing', 'level': case when checkpointing then 'warning' else 'ok' end},
+ {'ord': 2, 'name': 'backend', 'level': case when backend='manifest' then 'error' else 'ok' end},
+ {'ord': 3, 'name': 'tracking', 'level': case when tracking then case when login then 'ok' else 'warning' end end},
+ {'ord': 4, 'name': 'gradient accumulation', 'level': case when acc<1 then 'error' end},
+ {'ord': 5, 'name': 'rolling block', 'level': case when backend='rolling_raw' and acc>=1 then case when batch>=1 and block>=1 and block%greatest(batch*acc,1)=0 then 'ok' else 'error' end end},
+ {'ord': 6, 'name': 'prefetch', 'level': case when backend='rolling_raw' and acc>=1 and prefetch<>1 then 'error' end},
+ {'ord': 7, 'name': 'text cache', 'level': case when backend='rolling_raw' and acc>=1 and (cache<1 or cache%greatest(batch,1)<>0) then 'error' end},
+ {'ord': 8, 'name': 'shards', 'level': case when shards in ('none','lost') then 'error' else 'ok' end},
+ {'ord': 9, 'name': 'token', 'level': case when shards='hub' and not token then 'warning' end},
+ {'ord': 10, 'name': 'index', 'level': case when backend='rolling_raw' then case when version=2 and there and buckets between 900 and 1100 and files>=buckets then 'ok' else 'error' end end},
+ {'ord': 11, 'name': 'optimizer', 'level': case opt when 'adamw' then 'ok' when 'sgd' then 'error' else case when eight then 'ok' when fallback then 'warning' else 'error' end end},
+ {'ord': 12, 'name': 'precision', 'level': case precision when 'fp16' then 'ok' when 'int8' then 'error' end},
+ {'ord': 13, 'name': 'disk', 'level': case when free >= 500000 + batch*1000 then 'ok' else 'error' end},
+ {'ord': 14, 'name': 'mirror', 'level': case when mirror then 'ok' when not mirror then 'warning' end}]) as c from s)
+select run, c.ord, c.level, c.name from k where c.level is not null""")
 def preflight_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = {"data": {"backend": "rolling_raw", "batch_size": 4, "rolling_block_size": 30, "prefetch_shards": 2, "shards": ["a.tar"]}, "train": {"gradient_accumulation_steps": 8, "text_cache_size": 64}}
-    return lifecycle.preflight(spark, settings)
+    """Every event as a run's settings, all checks over all of them."""
+    i = F.col("event_id")
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (i % len(names)).cast("int") + 1)
+    array = lambda *xs: F.array(*map(F.lit, xs))
+    shards = F.when(i % 11 == 0, F.array().cast("array<string>")).when(i % 11 == 1, array("hf://datasets/a/b/c.tar")).when(i % 11 == 2, array("a.tar", "lost.tar")).when(i % 11 == 3, array("https://x.org/a.tar")).otherwise(array("a.tar"))
+    runs = fx.table(spark, sf_dir, "events").select(
+        i.cast("string").alias("run"), F.when(i % 7 < 4, "rolling_raw").when(i % 7 < 6, "streaming_tar").otherwise("manifest").alias("backend"),
+        F.when(i % 5 == 0, "flash_attention_2").otherwise("sdpa").alias("attention"), (i % 2 == 0).alias("attention_there"), (i % 3 == 0).alias("checkpointing"),
+        (i % 13 == 0).alias("tracking"), (i % 4 == 0).alias("tracking_login"), (i % 5 - 1).alias("accumulation"), (i % 7).alias("batch_size"), (i % 9 * 12).alias("rolling_block"),
+        F.when(i % 6 == 0, 2).otherwise(1).alias("prefetch"), (i % 17).alias("text_cache"), shards.alias("shards"), array("a.tar").alias("shards_there"), (i % 19 == 0).alias("token"),
+        (1 + i % 3).alias("index_version"), (i % 2 == 0).alias("index_source"), (880 + i % 260).alias("index_buckets"), (880 + i % 300).alias("index_files"),
+        pick("adamw", "AdamW8bit", "sgd").alias("optimizer"), (i % 8 == 0).alias("eight_bit"), (i % 10 < 5).alias("fallback"), F.when(i % 23 == 0, "int8").when(i % 23 < 12, "fp16").alias("precision"),
+        (i * 1000).alias("free_bytes"), F.lit(500000).alias("least_free"), (i % 7 * 1000).alias("cache_bytes"), F.when(i % 29 < 9, "/mirror").alias("mirror"), (i % 2 == 0).alias("mirror_there"),
+    )
+    return preflight.preflight(runs)
+
+
+@query("""select name, value from (select count(*)::double as n_rows, sum(n_chars)::double as chars, max(n_chars)::double as longest, count(distinct lang)::double as langs, 1.0::double as same_run from documents)
+unpivot (value for name in (n_rows, chars, longest, langs, same_run))""")
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures observed while the documents are written, under a run id that a second log finds again."""
+    root = shared.new_dir(spark, "run")
+    log = metrics.RunLog(spark, root)
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    out = log.written(docs, f"{root}/documents", 1, n_rows=F.count(F.lit(1)), chars=F.sum("n_chars"), longest=F.max("n_chars"))
+    again = metrics.RunLog(spark, root)
+    again.written(out.select("lang").distinct(), f"{root}/langs", 2, langs=F.count("lang"))
+    again.record(3, {"same_run": again.run_id == log.run_id})
+    return again.table().select("name", "value")
 
 
 @query("with c as (select event_id%5 as part, case event_id%9 when 0 then 'error' when 1 then 'warning' else 'ok' end as level from events) select count(*) filter (level='error') as errors, count(*) filter (level='warning') as warnings, count(*) filter (level='error')=0 as ok from c")
@@ -106,3 +155,19 @@ def report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     c = fx.table(spark, sf_dir, "events").select(F.when(i % 9 == 0, "error").when(i % 9 == 1, "warning").otherwise("ok").alias("level"))
     return lifecycle.report(c)
+
+
+@query("select vec_id, round(list_sum(embedding::double[]), 6) as total, 20::bigint as step, 'mirror' as root from embeddings")
+def checkpoint_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights saved twice, copied to a second root and pruned; the run resumes from the mirror, where the newest is."""
+    at = shared.new_dir(spark, "checkpoints")
+    weights = fx.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    with store.Mirror(spark, f"{at}/mirror", keep=1) as mirror:
+        for step in (10, 20):
+            saved = store.save_state(spark, f"{at}/local", step, weights, {"epoch": step // 10}, keep=2)
+            mirror.submit(saved)
+    store.delete(spark, f"{at}/local/step-00000020")
+    found = store.resume_path(spark, "auto", [f"{at}/local", f"{at}/mirror"])
+    model, state = store.load_model(spark, found)
+    total = F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6)
+    return model.select("vec_id", total.alias("total"), F.lit(state["step"]).cast("bigint").alias("step"), F.lit(found.split("/")[-2]).alias("root"))

@@ -145,12 +145,8 @@ def model_config_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select(i, n.model_errors(64 * (1 + i % 40), 1 + i % 20, i % 3, i % 4, F.when(i % 5 == 0, "other").otherwise("sdpa")).alias("errors"))
 
 
-# The weight shapes (sides) of a small example network, by section.
-SHAPES = (("patch_embed", (64, 48, 2, 2)), ("patch_embed", (64,)), ("blocks", (192, 64)), ("blocks", (64, 64)), ("blocks", (256, 64)), ("output_head", (192, 64)))
-
-
-@query("select * from (values ('patch_embed', 12352::bigint), ('blocks', 32768::bigint), ('output_head', 12288::bigint)) t(section, parameters)")
+@query(f"with {fx.POSTS} select tag_string_artist as section, sum(image_width * image_height * (1 + id % 3))::bigint as parameters, count(*) as tensors from posts group by 1")
 def param_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s, list(d)) for s, d in SHAPES], "section string, shape array<bigint>")
-    size = F.aggregate("shape", F.lit(1).cast("bigint"), lambda a, x: a * x)
-    return rows.groupBy("section").agg(F.sum(size).alias("parameters"))
+    """Weights whose shapes are those of the posts, summed by section."""
+    shapes = fx.posts(spark, sf_dir).select(F.col("tag_string_artist").alias("section"), F.array("image_width", "image_height", 1 + F.col("id") % 3).alias("shape"))
+    return n.param_counts(shapes)

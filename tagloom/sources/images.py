@@ -1,20 +1,29 @@
-"""Sizes of images from the first bytes of their files, and manifests of image folders."""
+"""Sizes of images from a few bytes of their files, and manifests of image folders."""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tagloom.functions import geometry
 from tagloom.functions.paths import IMAGE_ENDINGS, ending
+from tagloom.sources import shared
 
+#: Bytes of the first read, and segments of a JPEG that are passed over before it counts as broken.
+FIRST, SEGMENTS = 32, 4096
 
-def image_size(head: bytes) -> tuple[int, int] | None:
-    """(width, height) of a PNG, JPEG, WebP or BMP; None if the bytes aren't one."""
+
+def size_at(read: Callable[[int, int], bytes]) -> tuple[int, int] | None:
+    """(width, height) of a PNG, JPEG, WebP or BMP; None if the bytes aren't one. ``read(start, n)`` gives n bytes, or fewer at the end.
+
+    PNG, WebP and BMP have their size in the first bytes. A JPEG is walked from segment to segment, ten
+    bytes of each, so what lies inside them (thumbnails, profiles) isn't read.
+    """
+    head = read(0, FIRST)
     try:
         if head[:8] == b"\x89PNG\r\n\x1a\n":
             return struct.unpack(">II", head[16:24])
@@ -33,20 +42,62 @@ def image_size(head: bytes) -> tuple[int, int] | None:
                 return w & 0x3FFF, h & 0x3FFF
         if head[:2] == b"\xff\xd8":
             at = 2
-            while at + 9 < len(head):
-                marker, size = head[at + 1], struct.unpack(">H", head[at + 2 : at + 4])[0]
-                if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                    h, w = struct.unpack(">HH", head[at + 5 : at + 9])
+            for _ in range(SEGMENTS):
+                part = read(at, 10)
+                if len(part) < 4 or part[0] != 0xFF:
+                    return None
+                if part[1] == 0xFF:  # padding
+                    at += 1
+                elif part[1] == 0x01 or 0xD0 <= part[1] <= 0xD8:  # markers without a segment
+                    at += 2
+                elif 0xC0 <= part[1] <= 0xCF and part[1] not in (0xC4, 0xC8, 0xCC):
+                    h, w = struct.unpack(">HH", part[5:9])
                     return w, h
-                at += 2 + size
+                elif part[1] in (0xD9, 0xDA):  # the end, or pixels before a size
+                    return None
+                else:
+                    at += 2 + struct.unpack(">H", part[2:4])[0]
     except (struct.error, IndexError):
         return None
     return None
 
 
-@F.pandas_udf(T.StructType().add("width", T.LongType()).add("height", T.LongType()))
-def size_of(payload: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(image_size(p) if p is not None else None) or (None, None) for p in payload], columns=["width", "height"]).astype("Int64")
+def image_size(head: bytes) -> tuple[int, int] | None:
+    """(width, height) from the bytes of a file."""
+    return size_at(lambda start, n: head[start : start + n])
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, counts = [], []
+        for path in batch.column("path").to_pylist():
+            system, at = shared.files(path)
+            taken = 0
+            with system.open_input_file(at) as f:
+
+                def read(start: int, n: int) -> bytes:
+                    nonlocal taken
+                    f.seek(start)
+                    got = f.read(n)
+                    taken += len(got)
+                    return got
+
+                sizes.append(size_at(read) or (None, None))
+            counts.append(taken)
+        new = [pa.array([s[0] for s in sizes], pa.int64()), pa.array([s[1] for s in sizes], pa.int64()), pa.array(counts, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "width", "height", "bytes_read"])
+
+
+def listing(spark: SparkSession, root: str, endings: tuple[str, ...]) -> DataFrame:
+    """path and stem of the files below a folder that have one of the endings, in any case; nothing is read of them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    return found.where(ending(F.col("path")).isin(*endings)).withColumn("stem", F.regexp_replace("path", r"\.[^./]+$", ""))
+
+
+def heads(files: DataFrame) -> DataFrame:
+    """``files`` (path, ...) with width, height (null if it isn't an image) and bytes_read, by reads of a few bytes in tasks."""
+    fields = ", ".join(f"`{n}` {t}" for n, t in files.dtypes)
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "path").mapInArrow(_probe, f"{fields}, width long, height long, bytes_read long")
 
 
 def manifest(spark: SparkSession, root: str, stage: int, max_upscale: float | None = None) -> DataFrame:
@@ -54,11 +105,11 @@ def manifest(spark: SparkSession, root: str, stage: int, max_upscale: float | No
 
     A file's sidecar is the .json beside it, else the .txt as general tags. Files that aren't images are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    named = files.withColumn("end", ending(F.col("path"))).withColumn("stem", F.regexp_replace("path", r"\.[^./]+$", ""))
-    images = named.where(F.col("end").isin(*IMAGE_ENDINGS)).withColumn("size", size_of("content")).where("size.width is not null")
+    images = heads(listing(spark, root, IMAGE_ENDINGS)).where("width is not null")
+    loose = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,txt,JSON,TXT}").load(root)
+    named = loose.withColumn("end", F.lower(ending(F.col("path")))).withColumn("stem", F.regexp_replace("path", r"\.[^./]+$", ""))
     side = lambda end, name: named.where(F.col("end") == end).select("stem", F.col("content").cast("string").alias(name))
-    joined = images.select("path", "stem", "size.*").join(side(".json", "json"), "stem", "left").join(side(".txt", "text"), "stem", "left")
+    joined = images.select("path", "stem", "width", "height").join(side(".json", "json"), "stem", "left").join(side(".txt", "text"), "stem", "left")
     b = geometry.choose(F.col("width"), F.col("height"), geometry.stage_buckets(stage))
     out = joined.withColumn("b", b)
     if max_upscale is not None:

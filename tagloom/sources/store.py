@@ -16,6 +16,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagloom.operators import index
 from tagloom.operators.lifecycle import REQUIRED
@@ -145,16 +146,17 @@ def publish_version(spark: SparkSession, root: str, write: Callable[[str], objec
     return at
 
 
-def publish(spark: SparkSession, rows: DataFrame, to: str, source: str) -> dict:
+def publish(spark: SparkSession, rows: DataFrame, to: str, source: str, file: str | None = None) -> dict:
     """Write an index beside ``to`` with a manifest of its figures, then put it in its place; the manifest.
 
-    buckets, files and rows are counted in what was written, so a manifest never states more than is there.
+    buckets, files and rows are counted in what was written, so a manifest never states more than is there;
+    source and file say what it was made from.
     """
     staging = f"{to}.replacement-{uuid.uuid4().hex}"
     index.write(rows, staging)
     written = index.read(spark, staging)
     counts = index.stats(written).head()
-    manifest = {"version": VERSION, "source": source, "buckets": counts["buckets"], "files": counts["files"], "rows": written.count()}
+    manifest = {"version": VERSION, "source": source, "file": file, "buckets": counts["buckets"], "files": counts["files"], "rows": written.count()}
     write_text(spark, f"{staging}/{MANIFEST}", json.dumps(manifest, sort_keys=True))
     replace(spark, staging, to)
     return manifest
@@ -170,15 +172,38 @@ def manifest_of(spark: SparkSession, path: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def published(spark: SparkSession, path: str, source: str, least: int = 900, most: int = 1100) -> bool:
-    """Whether the index at ``path`` can be used for ``source`` as it is: by its manifest and by the files that are there."""
+def published(spark: SparkSession, path: str, source: str, least: int = 900, most: int = 1100, file: str | None = None) -> bool:
+    """Whether the index at ``path`` can be used for ``source`` and ``file`` as it is: by its manifest and by the files that are there."""
     m = manifest_of(spark, path)
-    if not m or m.get("version") != VERSION or m.get("source") != source:
+    if not m or m.get("version") != VERSION or (m.get("source"), m.get("file")) != (source, file):
         return False
     counts = index.stats(index.read(spark, path)).head()
     return (counts["buckets"], counts["files"]) == (m.get("buckets"), m.get("files")) and least <= counts["buckets"] <= most
 
 
+def _figures(spark: SparkSession, at: str) -> list:
+    return sorted(index.read(spark, at).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a bucket
+
+
+def compact(spark: SparkSession, root: str) -> dict:
+    """Rewrite the current version of an index below ``root`` with about one file a bucket; buckets, files before and files after.
+
+    The rows of every bucket are counted in the new version before the pointer moves to it, so a crash at
+    any step leaves the fragments current and readable, and so does a count that differs.
+    """
+    at = current(spark, root)
+    if at is None:
+        raise FileNotFoundError(f"{root} holds no version")
+    figures, before = _figures(spark, at), index.stats(index.read(spark, at)).head()
+
+    def check(new: str) -> None:
+        if _figures(spark, new) != figures:
+            raise ValueError(f"{new} doesn't hold the rows of {at}")
+
+    new = publish_version(spark, root, lambda to: index.write(index.read(spark, at), to), check)
+    return {"buckets": len(figures), "before": before["files"], "after": index.stats(index.read(spark, new)).head()["files"]}
+
+
 def copy(spark: SparkSession, path: str, to: str) -> None:
     """Copy a directory under a name of this attempt, then put it in its place."""
     part = f"{to}.partial-{uuid.uuid4().hex}"
@@ -255,12 +280,18 @@ class Mirror:
         self.close()
 
 
-def save_state(spark: SparkSession, root: str, step: int, model: str, state: Mapping, keep: int = 0) -> str:
-    """Write a checkpoint of ``step``: the model's bytes as text and the run's state as JSON. One that is complete already stays as it is."""
+def save_state(spark: SparkSession, root: str, step: int, model: str | DataFrame, state: Mapping, keep: int = 0) -> str:
+    """Write a checkpoint of ``step``: the model and the run's state as JSON. One that is complete already stays as it is.
+
+    A model is a table of its weights, which tasks write as Parquet, or a small text.
+    """
     at = f"{root}/step-{step:08d}"
     if not set(REQUIRED) <= set(names(spark, at)):
         part = f"{at}.partial-{uuid.uuid4().hex}"
-        write_text(spark, f"{part}/{REQUIRED[0]}", model)
+        if isinstance(model, DataFrame):
+            model.write.option("compression", "zstd").parquet(f"{part}/{REQUIRED[0]}")
+        else:
+            write_text(spark, f"{part}/{REQUIRED[0]}", model)
         write_text(spark, f"{part}/{REQUIRED[1]}", json.dumps(dict(state) | {"step": step}, sort_keys=True))
         replace(spark, part, at)
         write_text(spark, f"{root}/{LATEST}", at.rpartition("/")[2])
@@ -272,3 +303,21 @@ def load_state(spark: SparkSession, path: str) -> tuple[str, dict]:
     """Model text and state of a checkpoint; one that isn't complete raises."""
     at = resume_path(spark, path, [])
     return read_text(spark, f"{at}/{REQUIRED[0]}"), json.loads(read_text(spark, f"{at}/{REQUIRED[1]}"))
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """Weights and state of a checkpoint whose model is a table; one that isn't complete raises."""
+    at = resume_path(spark, path, [])
+    return spark.read.parquet(f"{at}/{REQUIRED[0]}"), json.loads(read_text(spark, f"{at}/{REQUIRED[1]}"))
+
+
+def bucket_rows(spark: SparkSession, root: str, bucket: str) -> DataFrame:
+    """Rows of one bucket of an index: its own file ``<bucket>.parquet`` if there is one, else its directory."""
+    if not re.fullmatch(r"\d{4}", bucket):
+        raise ValueError(f"a bucket has four digits, not {bucket}")
+    direct = f"{root}/{bucket}.parquet"
+    if exists(spark, direct):
+        return spark.read.parquet(direct).withColumn("bucket", F.lit(bucket))
+    if not exists(spark, f"{root}/bucket={bucket}"):
+        raise FileNotFoundError(f"{root} has no bucket {bucket}")
+    return index.read(spark, root, [bucket])
