@@ -134,3 +134,51 @@ def ordered_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = global_ordinals(d.select("part", "doc_id"), "part", ["doc_id"], "ord").drop("part")
     made = global_ordinals(d.select("part", F.col("doc_id").alias("key"), F.col("lang").alias("mate")).repartition(3), "part", ["key"], "ord").select("ord", "mate")
     return zipped(numbered, made, "ord")
+
+
+TILES = "samples as (select doc_id as id, doc_id//100 as shard_index, doc_id%100 as sample_index, ['16x16','16x32','32x16'][doc_id*doc_id%3+1] as bucket from documents)"
+
+
+@query(f"""with recursive {TILES}, {GROUPS}, per as (select group_no, emitted_block as k, max(shard_index*100000+sample_index) as high from grouped where group_no is not null group by all),
+c as (select p.group_no, max(high) over (order by p.group_no) as trained, (select min(shard_index*100000+sample_index) from grouped s where s.block<=p.k and (s.emitted_block is null or s.emitted_block>p.k or (s.emitted_block=p.k and s.group_no>p.group_no))) as first from per p)
+select g.group_no, g.shard_index, g.sample_index, g.bucket, coalesce(first, trained)//100000 as resume_shard_index, case when first is not null then first%100000-1 else trained%100000 end as resume_sample_index, g.id%32/8.0::double as value from grouped g join c using (group_no)""")
+def rolling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as shards of tiles, streamed in turns of encoding and training; the first run is broken off and a second one goes on."""
+    from tagloom.sources import archives, shared
+    from tagloom.streaming import latents
+    from tagloom.streaming.rolling import Rolling
+
+    root, i = shared.new_dir(spark, "rolling"), F.col("doc_id")
+    odd = (i * i % 3).cast("int") + 1
+    side = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), odd)
+    tiles = fx.table(spark, sf_dir, "documents").select(F.format_string("%06d.tar", F.floor(i / 100)).alias("archive"), i.alias("ord"), F.format_string("%09d", i).alias("sample_id"), side("16x16", "16x32", "32x16").alias("bucket"), F.array(F.lit(1), side(16, 32, 16), side(16, 16, 32)).alias("latent_shape"), (i % 32 / 8).alias("v"))
+    pixels = F.transform(F.sequence(F.lit(1), F.element_at("latent_shape", 2) * F.element_at("latent_shape", 3)), lambda _: F.col("v").cast("float"))
+    rows = tiles.withColumn("latent", pixels).withColumn("metadata", F.to_json(F.struct("bucket")))
+    archives.write(archives.latent_members(rows, "ord"), f"{root}/shards", archives.LATENT_ORDER)
+    shards = sorted(r["path"] for r in archives.archive_paths(spark, f"{root}/shards").collect())  # a row a shard
+    broken = []
+
+    def break_off(out: DataFrame, batch_id: int) -> None:
+        if not broken:
+            broken.append(batch_id)
+            raise RuntimeError("broken off on purpose")
+
+    def run(consume) -> Rolling:
+        rolling = Rolling(f"{root}/state", BLOCK, BATCH, ACCUMULATE, consume=consume)
+        stream = latents.latent_stream(spark, shards, checkpoint=f"{root}/checkpoint", shards_per_batch=5, shuffle=False)
+        samples_ = stream.select("shard_index", "sample_index", F.get_json_object("metadata", "$.bucket").alias("bucket"), F.col("latent").alias("pixels"), "shape")
+        q = samples_.writeStream.foreachBatch(rolling).option("checkpointLocation", f"{root}/checkpoint").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return rolling
+
+    try:
+        run(break_off)
+    except Exception as error:
+        if "broken off on purpose" not in str(error):
+            raise
+    rolling = run(None)
+    rolling.finish(spark)
+    return rolling.output(spark).select("group_no", "shard_index", "sample_index", "bucket", "resume_shard_index", "resume_sample_index", F.element_at("latent", 1).cast("double").alias("value"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import tarfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,11 +54,9 @@ def shard_list(spark: SparkSession, path: str) -> list[str]:
 
 
 def _open(path: str):
-    from pyarrow import fs
-
-    if "://" not in path:
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
         return open(path, "rb")
-    system, at = fs.FileSystem.from_uri(path)
+    system, at = shared.files(path)
     return system.open_input_stream(at, compression=None)
 
 
