@@ -86,6 +86,37 @@ def section(config: Mapping, name: str) -> dict:
     return dict(config[name])
 
 
+#: Settings that a command line may override: name -> (section, key, whether it must be positive).
+OVERRIDES = {"max_steps": ("train", "max_steps", True), "rolling_block_size": ("data", "rolling_block_size", True), "output_dir": ("train", "output_dir", False), "checkpoint_mirror_dir": ("train", "checkpoint_mirror_dir", False)}
+
+
+def overridden(config: Mapping, **given) -> dict:
+    """``config`` with the settings that were given (None: not given); a number that must be positive and isn't is an error."""
+    out = {k: dict(v) if isinstance(v, Mapping) else v for k, v in config.items()}
+    for name, value in given.items():
+        where, key, positive = OVERRIDES[name]
+        if value is None:
+            continue
+        if positive and value < 1:
+            raise ValueError(f"{name} must be positive")
+        out.setdefault(where, {})[key] = value
+    return out
+
+
+def runtime_config(base: str, root: str, smoke_steps: int | None = None) -> dict:
+    """A configuration that extends ``base`` with the folders of a run below ``root``.
+
+    A smoke run has a bound on its steps and its own output, mirror and name, so that it can neither
+    resume nor replace what a real run saved.
+    """
+    train = {"checkpoint_mirror_dir": root}
+    if smoke_steps is not None:
+        if smoke_steps < 1:
+            raise ValueError("a smoke run has a step at least")
+        train = {"output_dir": f"{root}/smoke/local", "checkpoint_mirror_dir": f"{root}/smoke/mirror", "max_steps": smoke_steps, "tracking": {"name": "smoke", "tags": ["smoke"]}}
+    return {"extends": base, "data": {"metadata_index_dir": f"{root}/index"}, "train": train}
+
+
 def flattened(spark: SparkSession, config: Mapping) -> DataFrame:
     """key and value of a configuration's leaves, keys joined by dots."""
 

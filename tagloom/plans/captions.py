@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom import fixtures as fx
 from tagloom.functions import tags
+from tagloom.operators import textcache
 from tagloom.plans import query
 
 
@@ -89,3 +90,14 @@ def caption_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolling = F.when(tags.has_caption(text, general), "tags").otherwise("caption")
     stream = F.when(i % 2 == 0, "tags").when(text.isNotNull(), "caption").otherwise("none")
     return fx.posts(spark, sf_dir).select("id", rolling.alias("rolling"), stream.alias("stream"))
+
+
+@query(f"""with {fx.POSTS}, c as (select id//4 as batch_no, id, regexp_split_to_array(trim(tag_string_general), '\\s+')[1:32] as w from posts),
+n as (select batch_no, max(len(w)) as longest, list(w order by id) as ws from c group by 1)
+select batch_no, ((batch_no*4)//64)::bigint as text_window, list_transform(ws, lambda w: list_transform(range(0, longest), lambda j: case when j < len(w) then [len(w[j+1])::double, j::double] else [0.0::double, 0.0::double] end)) as states,
+ list_transform(ws, lambda w: list_transform(range(0, longest), lambda j: j < len(w))) as mask from n""")
+def text_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions of four posts a batch, sixteen batches encoded together."""
+    p = fx.posts(spark, sf_dir).groupBy(F.floor(F.col("id") / 4).alias("batch_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "tag_string_general"))), lambda x: x["tag_string_general"]).alias("captions"))
+    made = textcache.text_states(p, window=64, encode=24)
+    return made.withColumn("states", F.col("states").cast("array<array<array<double>>>"))

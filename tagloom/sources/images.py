@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Callable, Iterator
 
@@ -114,10 +115,28 @@ def manifest(spark: SparkSession, root: str, stage: int, max_upscale: float | No
     out = joined.withColumn("b", b)
     if max_upscale is not None:
         out = out.where(geometry.upscale(F.col("width"), F.col("height"), F.col("b")) <= max_upscale)
-    sidecar = F.coalesce("json", F.when(F.col("text").isNotNull(), F.to_json(F.struct(F.trim("text").alias("general_tags")))), F.lit("{}"))
+    fine = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("json")), F.lit("OBJECT")), F.lit(False))
+    sidecar = F.coalesce(F.when(fine, F.col("json")), F.when(F.col("text").isNotNull(), F.to_json(F.struct(F.trim("text").alias("general_tags")))), F.lit("{}"))
     return out.select(F.col("path").alias("image_path"), F.col("width").alias("original_width"), F.col("height").alias("original_height"), geometry.key(F.col("b.width"), F.col("b.height")).alias("bucket"), sidecar.alias("sidecar"))
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps({k: v for k, v in r.items() if k != "sidecar"} | json.loads(r["sidecar"]), ensure_ascii=False) for r in rows], pa.string())], names=["value"])
+
+
+def write_manifest(spark: SparkSession, root: str, to: str, stage: int, max_upscale: float | None = None) -> dict[str, int]:
+    """Write the manifest of an image folder as JSON lines below ``to``, in parts; how many images were kept and skipped.
+
+    A sidecar's keys stand beside the record's own and replace them where they are the same. Files that
+    can't be read as images, and images that would be scaled up too much, are skipped.
+    """
+    manifest(spark, root, stage, max_upscale).mapInArrow(_lines, "value string").write.mode("overwrite").text(to)
+    kept = spark.read.text(to).count()
+    return {"kept": kept, "skipped": listing(spark, root, IMAGE_ENDINGS).count() - kept}
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Records of a cached manifest (JSON lines); each names its latent and its bucket, and there is one at least."""
     rows = spark.read.schema("sample_id string, latent_path string, bucket string, general_tags string").json(path)

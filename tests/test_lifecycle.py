@@ -57,3 +57,17 @@ def test_unusable_rows_go(spark):
     df = spark.createDataFrame(rows, "id bigint, tag_string_general string, is_deleted boolean, is_flagged boolean")
     assert sorted(r["id"] for r in index.usable(df).collect()) == [1, 4]
     assert index.usable(spark.createDataFrame([(1,)], "id bigint")).isEmpty()
+
+
+def test_overrides_and_runtime_configurations():
+    base = {"data": {"rolling_block_size": 64}, "x": 1}
+    assert lifecycle.overridden(base, max_steps=3, rolling_block_size=None, output_dir="/o") == {"data": {"rolling_block_size": 64}, "x": 1, "train": {"max_steps": 3, "output_dir": "/o"}}
+    assert base == {"data": {"rolling_block_size": 64}, "x": 1}
+    for bad in ({"max_steps": 0}, {"rolling_block_size": -1}):
+        with pytest.raises(ValueError):
+            lifecycle.overridden(base, **bad)
+    real, smoke = lifecycle.runtime_config("base.yaml", "/r"), lifecycle.runtime_config("base.yaml", "/r", 5)
+    assert real["train"] == {"checkpoint_mirror_dir": "/r"} and smoke["train"]["max_steps"] == 5
+    assert smoke["train"]["checkpoint_mirror_dir"] != real["train"]["checkpoint_mirror_dir"] and smoke["data"] == real["data"]
+    with pytest.raises(ValueError):
+        lifecycle.runtime_config("base.yaml", "/r", 0)

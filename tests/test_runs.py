@@ -144,3 +144,18 @@ def test_a_zip_is_strict(spark):
 def test_keys_that_every_sample_of_a_batch_has(spark):
     df = spark.createDataFrame([(1, "x", None), (1, "y", 1), (2, None, 2), (2, "z", 3)], "b long, p string, q long")
     assert {tuple(r) for r in batching.present_in_all(df, ["b"], ["p", "q"]).collect()} == {(1, 2, True, False), (2, 2, False, True)}
+
+
+def test_manifest_counts_what_it_keeps(spark, tmp_path):
+    import json
+
+    at = tmp_path / "in"
+    at.mkdir()
+    for name, content in {"a.png": png(1200, 1800), "b.png": png(10, 10), "c.jpg": b"no image", "d.PNG": png(1920, 1080)}.items():
+        (at / name).write_bytes(content)
+    (at / "a.json").write_text('{"general_tags": ["x", "\u00e9"], "bucket": "own"}')
+    (at / "d.json").write_text("[1]")
+    (at / "d.txt").write_text(" one ")
+    assert images.write_manifest(spark, str(at), str(tmp_path / "out"), 768, 2.0) == {"kept": 2, "skipped": 2}
+    rows = sorted((json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()), key=lambda r: r["image_path"])
+    assert [(r["bucket"], r["original_width"], r["general_tags"]) for r in rows] == [("own", 1200, ["x", "é"]), ("1024x576", 1920, "one")]

@@ -83,3 +83,22 @@ def test_groups_whose_blocks_lie_in_many_chunks(spark, monkeypatch):
     assert [sorted(got[k]) for k in sorted(got)] == [sorted(g) for g in groups]
     none = spark.createDataFrame([], "shard_index bigint, sample_index bigint, bucket string")
     assert batching.groups(none, 6, 2, 3).count() == 0
+
+
+def test_text_states_are_padded_by_batch(spark):
+    from tagloom.operators import textcache
+
+    sizes = []
+
+    def encoder(captions):
+        sizes.append(len(captions))
+        return textcache.word_states(captions, 3)
+
+    rows = [(0, ["a bb", None]), (1, []), (2, ["ccc d e f"]), (3, ["x"])]
+    df = spark.createDataFrame(rows, "batch_no long, captions array<string>")
+    got = {r["batch_no"]: r for r in textcache.text_states(df, encoder, window=2, encode=2).collect()}
+    assert [got[i]["text_window"] for i in range(4)] == [0, 1, 1, 1]
+    assert got[0]["states"] == [[[1, 0], [2, 1]], [[0, 0], [0, 0]]] and got[0]["mask"] == [[True, True], [True, False]]
+    assert got[1]["states"] == [] and got[2]["states"] == [[[3, 0], [1, 1], [1, 2]]] and got[3]["mask"] == [[True]]
+    with pytest.raises(Exception, match="1 states of 2"):
+        textcache.text_states(df, lambda c: textcache.word_states(c)[:1], 2, 2).collect()
