@@ -1,33 +1,18 @@
 """Where intermediate tables go, and how lineage is cut.
 
 Executors may be lost at any time, so intermediates are written as Parquet into the folder that
-all machines share: ``spark.checkpoint.dir`` of the session. Only where that is unset (a single
-machine, tests) a temporary folder stands in.
+all machines share: ``spark.checkpoint.dir`` of the session. Only where that is unset and the master is
+this machine (tests) a temporary folder stands in; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors see."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if "at" not in _own:
-            holder = tempfile.TemporaryDirectory(prefix="tagloom-")
-            atexit.register(holder.cleanup)
-            _own["at"] = f"file://{holder.name}"
-        at = _own["at"]
-    return at.rstrip("/")
-
+from tagloom.sources.shared import shared_dir
 
 def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tagloom-{what}-{uuid.uuid4().hex}"
