@@ -67,15 +67,15 @@ where (k.o=0 and doc_id%17<>0) or (k.o=1 and doc_id%5<>0) or (k.o=2 and doc_id%4
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
-    local = e.where(i.between(1, 40)).select(F.lit("local").alias("root"), F.format_string("step-%08d", i * 250).alias("name"), (i * 250).alias("step"), (i % 3 != 0).alias("has_model"), (i % 4 != 0).alias("has_state"))
-    mirror = e.where(i.between(1, 20)).select(F.lit("mirror").alias("root"), F.format_string("step-%08d", i * 500).alias("name"), (i * 500).alias("step"), (i % 5 != 0).alias("has_model"), F.lit(True).alias("has_state"))
+    local = e.select(F.lit("local").alias("root"), F.format_string("step-%08d", i * 250).alias("name"), (i * 250).alias("step"), (i % 3 != 0).alias("has_model"), (i % 4 != 0).alias("has_state"))
+    mirror = e.select(F.lit("mirror").alias("root"), F.format_string("step-%08d", i * 500).alias("name"), (i * 500).alias("step"), (i % 5 != 0).alias("has_model"), F.lit(True).alias("has_state"))
     return local.unionByName(mirror)
 
 
 CHECKPOINTS = """
 checkpoints as (select 'local' as root, printf('step-%08d', event_id*250) as name, event_id*250 as step, event_id%3<>0 as has_model, event_id%4<>0 as has_state
- from events where event_id between 1 and 40
- union all select 'mirror', printf('step-%08d', event_id*500), event_id*500, event_id%5<>0, true from events where event_id between 1 and 20)"""
+ from events
+ union all select 'mirror', printf('step-%08d', event_id*500), event_id*500, event_id%5<>0, true from events)"""
 
 
 def latents(spark: SparkSession, sf_dir: str) -> DataFrame:

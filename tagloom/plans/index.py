@@ -121,10 +121,12 @@ def shard_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
 
 
-@query(f"with {fx.POSTS}, {INDEX} select bucket from idx where id%3=0 union select bucket from idx where id%5=0")
+@query(f"with {fx.POSTS}, {INDEX} select bucket from idx union select printf('%04d', id%50) from posts")
 def bucket_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = index.build(fx.posts(spark, sf_dir), MODULUS)
-    return idx.where("id % 3 = 0").select("bucket").union(idx.where("id % 5 = 0").select("bucket")).distinct()
+    """Names of buckets that have a directory or a file of their own."""
+    posts = fx.posts(spark, sf_dir)
+    files = posts.select(paths.shard_bucket(F.concat(F.lit("/index/"), F.format_string("%04d", F.col("id") % 50), F.lit(".parquet"))).alias("bucket"))
+    return index.build(posts, MODULUS).select("bucket").union(files).distinct()
 
 
 @query(f"with {fx.POSTS}, {INDEX} select bucket, count(*) as n, min(id) as least, 2::bigint as version, 'posts' as source, 'posts.parquet' as file, (select count(*) from idx) as rows_stated, true as usable, false as other from idx group by bucket")
