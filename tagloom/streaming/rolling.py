@@ -58,20 +58,19 @@ class Rolling:
         before = self._before(samples.sparkSession, batch_id)
         self.before_encode()
         made = self._kept(encoded(samples, self.encoder, self.most), "encoded", batch_id)
-        self._train(made, before, batch_id, False)
+        self._train(made.sparkSession, made, before, batch_id, False)
 
     def finish(self, spark: SparkSession) -> None:
         """What is left behind the last full block is a block of its own; its groups are the epoch's last ones. What still waits then is dropped."""
         versions = self._versions(spark)
         if versions and not self._before(spark, versions[-1] + 1).get("finished"):
-            self._train(None, self._before(spark, versions[-1] + 1), versions[-1] + 1, True)
+            self._train(spark, None, self._before(spark, versions[-1] + 1), versions[-1] + 1, True)
 
-    def _train(self, made: DataFrame | None, before: dict, batch_id: int, last: bool) -> None:
+    def _train(self, spark: SparkSession, made: DataFrame | None, before: dict, batch_id: int, last: bool) -> None:
         position, samples = before["position"], None
         if made is not None:
             samples = global_ordinals(made, "shard_index", ["sample_index"], "position").withColumn("position", F.col("position") + position)
             position += made.count()
-        spark = made.sparkSession if made is not None else SparkSession.getActiveSession()
         if before["version"] is not None:
             waiting = spark.read.parquet(f"{self.root}/waiting/batch={before['version']}")
             samples = waiting if samples is None else waiting.unionByName(samples)
