@@ -257,7 +257,8 @@ def fetch(spark: SparkSession, sources: DataFrame, cache: str, how: Transfer | N
     cache. ``fail_after`` stops every task after so many segments, to try a restart.
     """
     how = how or Transfer()
-    address = F.coalesce(paths.hub_address(F.col("source")), F.raise_error(F.concat(F.lit("not a shard of the hub: "), "source")).cast("string"))
+    known = F.col("source").isNotNull()  # said again: filters may be evaluated in any order
+    address = F.when(known, F.coalesce(paths.hub_address(F.col("source")), F.raise_error(F.concat(F.lit("not a shard of the hub: "), "source")).cast("string")))
     named = sources.select("source").where("source is not null").distinct().withColumn("address", address).withColumn("name", paths.cache_name(F.col("address")))
     have = spark.createDataFrame([(n,) for n in store.names(spark, cache) if not n.endswith(PARTS)], "name string")
     there = named.join(have, "name").select("source", F.concat(F.lit(f"{cache}/"), "name").alias("path"))
