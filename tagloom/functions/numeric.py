@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,16 @@ def velocity(clean: Column, noise: Column) -> Column:
     return F.zip_with(clean, noise, lambda a, b: b - a)
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """A double to ``digits`` decimals as DuckDB rounds it: scaled, to the nearest whole number (halves away from 0), scaled back.
+
+    Spark's own ``round`` rounds the shortest decimal form of a double, which differs by one in the last
+    place where scaling meets or misses a half. What scaling would make infinite stays as it is.
+    """
+    x, scale = F.col(value) if isinstance(value, str) else value, 10.0**digits
+    return F.when(F.abs(x * scale) <= sys.float_info.max, F.round(x * scale) / scale).otherwise(x)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom import fixtures as fx
 from tagloom.functions import geometry as g
+from tagloom.functions.numeric import rounded
 from tagloom.operators import batching
 from tagloom.plans import query
 from tagloom.plans.captions import u
@@ -25,7 +26,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 b as (select bucket, (place-1)//{BATCH} as batch_no, list(id order by place) as sample_ids from n group by all)
 select bucket, batch_no, sample_ids, round({u("'order'", "'9'", "bucket", "batch_no::varchar")}, 9) as batch_order from b where len(sample_ids)={BATCH}""")
 def bucket_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batching.bucket_batches(samples(spark, sf_dir), BATCH, 7, 2).withColumn("batch_order", F.round("batch_order", 9))
+    return batching.bucket_batches(samples(spark, sf_dir), BATCH, 7, 2).withColumn("batch_order", rounded("batch_order", 9))
 
 
 BLOCKS = f"blocks as (select *, row_number() over (order by shard_index, sample_index)-1 as position, (row_number() over (order by shard_index, sample_index)-1)//{BLOCK} as block from samples)"

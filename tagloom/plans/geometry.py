@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagloom import fixtures as fx
 from tagloom.functions import geometry as g
 from tagloom.functions import tags
+from tagloom.functions.numeric import rounded
 from tagloom.operators import batching, index
 from tagloom.plans import query
 
@@ -59,7 +60,7 @@ def bucket_key_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {fx.POSTS}, {chosen_sql(768)} select id, bw//16 as latent_width, bh//16 as latent_height, (bw//32)*(bh//32) as tokens, round(bw::double/bh, 9) as aspect from chosen")
 def token_latent_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = F.col("b.width"), F.col("b.height")
-    return chosen(fx.posts(spark, sf_dir), 768).select("id", g.latent_side(w).alias("latent_width"), g.latent_side(h).alias("latent_height"), g.tokens(w, h).alias("tokens"), F.round(g.aspect(w, h), 9).alias("aspect"))
+    return chosen(fx.posts(spark, sf_dir), 768).select("id", g.latent_side(w).alias("latent_width"), g.latent_side(h).alias("latent_height"), g.tokens(w, h).alias("tokens"), rounded(g.aspect(w, h), 9).alias("aspect"))
 
 
 @query(f"""with {fx.POSTS}, {chosen_sql(768)}, s as (select *, greatest(bw::double/image_width, bh::double/image_height) as sc from chosen),
@@ -72,13 +73,13 @@ def cover_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {fx.POSTS}, {chosen_sql(1024)} select id, round(greatest(bw::double/image_width, bh::double/image_height), 9) as upscale from chosen where greatest(bw::double/image_width, bh::double/image_height) <= 1.5")
 def upscale_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = chosen(fx.posts(spark, sf_dir), 1024).withColumn("u", g.upscale(F.col("image_width"), F.col("image_height"), F.col("b")))
-    return p.where("u <= 1.5").select("id", F.round("u", 9).alias("upscale"))
+    return p.where("u <= 1.5").select("id", rounded("u", 9).alias("upscale"))
 
 
 @query(f"with {fx.POSTS}, {chosen_sql(768)} select concat(bw,'x',bh) as bucket, count(*) as images, round(avg(image_width::double/image_height), 6) as mean_aspect from chosen group by bw, bh")
 def bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = chosen(fx.posts(spark, sf_dir), 768).withColumn("bucket", g.key(F.col("b.width"), F.col("b.height")))
-    return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("images"), F.round(F.avg(g.aspect(F.col("image_width"), F.col("image_height"))), 6).alias("mean_aspect"))
+    return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("images"), rounded(F.avg(g.aspect(F.col("image_width"), F.col("image_height"))), 6).alias("mean_aspect"))
 
 
 @query(f"with {fx.POSTS}, {chosen_sql(768)}, n as (select concat(bw,'x',bh) as bucket, count(*) as n from chosen group by 1) select bucket, n//4 as whole, (n+3)//4 as every from n")
@@ -106,7 +107,7 @@ def pixel_size_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select vec_id, list_transform(embedding::double[], lambda x: round(abs(x)*255/127.5 - 1.0, 9)) as unit from embeddings")
 def pixel_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x) * 255)
-    return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(g.pixel_to_unit(pixels), lambda x: F.round(x, 9)).alias("unit"))
+    return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(g.pixel_to_unit(pixels), lambda x: rounded(x, 9)).alias("unit"))
 
 
 @query("select vec_id, list_transform(embedding::double[], lambda x: round_even((least(greatest(x*2, -1.0), 1.0) + 1.0)*127.5, 0)::integer) as pixels from embeddings")
@@ -132,4 +133,4 @@ def index_report(posts: DataFrame) -> DataFrame:
     kept = index.build(posts).where(tags.rating_allowed(F.col("rating"), ["general", "sensitive"])).withColumnRenamed("bucket", "part")
     b = chosen(kept, 768).where(g.upscale(F.col("image_width"), F.col("image_height"), F.col("b")) <= 2.0)
     b = b.select("part", g.key(F.col("b.width"), F.col("b.height")).alias("bucket"), g.tokens(F.col("b.width"), F.col("b.height")).alias("tokens"))
-    return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("images"), F.count_distinct("part").alias("parts"), F.round(F.avg("tokens"), 6).alias("mean_tokens"), F.floor(F.count(F.lit(1)) / 4).alias("batches"))
+    return b.groupBy("bucket").agg(F.count(F.lit(1)).alias("images"), F.count_distinct("part").alias("parts"), rounded(F.avg("tokens"), 6).alias("mean_tokens"), F.floor(F.count(F.lit(1)) / 4).alias("batches"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom import fixtures as fx
 from tagloom.functions import paths, tags
+from tagloom.functions.numeric import rounded
 from tagloom.operators import ingest
 from tagloom.plans import query
 from tagloom.plans.geometry import RATING, chosen, chosen_sql
@@ -151,7 +152,7 @@ select shard_index, count(*) as images, count(x.id) as matched, round(count(x.id
 def match_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ingest.samples(fx.members(spark, sf_dir)).where("image is not null")
     x = fx.table(spark, sf_dir, "documents").where("doc_id % 10 < 3 + doc_id div 100").select(F.col("doc_id").alias("id"))
-    return ingest.match_rates(s, x).withColumn("rate", F.round("rate", 9))
+    return ingest.match_rates(s, x).withColumn("rate", rounded("rate", 9))
 
 
 @query(f"with {fx.POSTS}, f as (select id%50 as source, count(*) as n from posts group by 1) select source, n from f where source%3<>0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom import fixtures as fx
 from tagloom.functions import paths
+from tagloom.functions.numeric import rounded
 from tagloom.operators import lifecycle, preflight
 from tagloom.plans import query
 from tagloom.sources import shared, store
@@ -54,7 +55,7 @@ def log_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     log = fx.table(spark, sf_dir, "events").select((i + 1).alias("step"), F.col("value").alias("loss"), (F.col("value") / 2).alias("grad_norm"), F.lit(16).alias("samples"), (1.0 + i % 3).alias("seconds"), (0.25 * (i % 9)).alias("wait"))
     m = lifecycle.window_metrics(log, 50)
-    return m.select("window", "step", *[F.round(c, 6).alias(c) for c in ("mean_loss", "grad_norm", "samples_per_second", "wait_ratio")])
+    return m.select("window", "step", *[rounded(c, 6).alias(c) for c in ("mean_loss", "grad_norm", "samples_per_second", "wait_ratio")])
 
 
 @query("select doc_id as batch_no, 2 as epoch, doc_id//100 as shard_index, case when doc_id%2=0 then doc_id%100-1 else doc_id%100 end as sample_index from documents")
@@ -169,5 +170,5 @@ def checkpoint_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.delete(spark, f"{at}/local/step-00000020")
     found = store.resume_path(spark, "auto", [f"{at}/local", f"{at}/mirror"])
     model, state = store.load_model(spark, found)
-    total = F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6)
+    total = rounded(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 6)
     return model.select("vec_id", total.alias("total"), F.lit(state["step"]).cast("bigint").alias("step"), F.lit(found.split("/")[-2]).alias("root"))

@@ -12,7 +12,7 @@ from tagloom.plans.captions import u
 
 
 def rounded(c, digits: int = 6):
-    return F.transform(c, lambda x: F.round(x, digits) + 0.0)
+    return F.transform(c, lambda x: n.rounded(x, digits) + 0.0)
 
 
 def r(expr: str, digits: int = 6) -> str:
@@ -31,22 +31,22 @@ def flow_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {fx.LATENTS} select vec_id%7 as part, round(avg(list_sum(list_transform(list_zip(clean, noise), lambda z: (z[1]-z[2])*(z[1]-z[2])))/len(clean)), 6) as loss from latents group by 1")
 def flow_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.latents(spark, sf_dir).groupBy((F.col("vec_id") % 7).alias("part")).agg(F.round(F.avg(n.mse(F.col("clean"), F.col("noise"))), 6).alias("loss"))
+    return fx.latents(spark, sf_dir).groupBy((F.col("vec_id") % 7).alias("part")).agg(n.rounded(F.avg(n.mse(F.col("clean"), F.col("noise"))), 6).alias("loss"))
 
 
 @query(f"select vec_id, round({u(chr(39)+'3'+chr(39), 'vec_id::varchar')}, 9) as t from embeddings")
 def timesteps_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.round(n.timesteps_uniform(3, F.col("vec_id")), 9).alias("t"))
+    return fx.table(spark, sf_dir, "embeddings").select("vec_id", n.rounded(n.timesteps_uniform(3, F.col("vec_id")), 9).alias("t"))
 
 
 @query("select vec_id, round(1.0/(1.0+exp(-z)), 9) as t from (select vec_id, sqrt(-2.0*ln(1.0-" + u("'a'", "'3'", "vec_id::varchar") + "))*cos(2.0*pi()*" + u("'b'", "'3'", "vec_id::varchar") + ") as z from embeddings)")
 def timesteps_logit_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.round(n.timesteps_logit_normal(3, F.col("vec_id")), 9).alias("t"))
+    return fx.table(spark, sf_dir, "embeddings").select("vec_id", n.rounded(n.timesteps_logit_normal(3, F.col("vec_id")), 9).alias("t"))
 
 
 @query("select event_id, round(case when event_id<500 then event_id/500.0::double else 0.1::double+0.9::double*(0.5::double*(1.0+cos(pi()*least((event_id-500)/7500.0::double,1.0)))) end, 9) as multiplier from events")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "events").select("event_id", F.round(n.learning_rate(F.col("event_id"), 500, 8000, 0.1), 9).alias("multiplier"))
+    return fx.table(spark, sf_dir, "events").select("event_id", n.rounded(n.learning_rate(F.col("event_id"), 500, 8000, 0.1), 9).alias("multiplier"))
 
 
 @query(f"with {fx.LATENTS} select vec_id, {r('list_transform(list_zip(clean, noise), lambda z: z[1]+5.0*(z[2]-z[1]))')} as v from latents")
@@ -101,7 +101,7 @@ select y, x, k, round(cos(phase),9) as c, round(sin(phase),9) as s from p""")
 def rope_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = spark.range(6).withColumnRenamed("id", "y").withColumn("x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
     p = y.withColumn("phase", n.rope_phase(F.col("y"), F.col("x"), F.col("k"), 16))
-    return p.select("y", "x", "k", F.round(F.cos("phase"), 9).alias("c"), F.round(F.sin("phase"), 9).alias("s"))
+    return p.select("y", "x", "k", n.rounded(F.cos("phase"), 9).alias("c"), n.rounded(F.sin("phase"), 9).alias("s"))
 
 
 @query(f"with {fx.LATENTS} select vec_id, {r('list_transform(list_zip(clean, noise), lambda z: z[1]*(1.0+z[2])+z[1])')} as x, {r('list_transform(list_zip(clean, noise), lambda z: z[1]+z[2]*z[1])')} as gated from latents")

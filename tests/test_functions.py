@@ -93,3 +93,29 @@ def test_schedule_and_flow(spark):
     a, b = F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(5.0), F.lit(8.0))
     assert one(spark, n.lerp(a, b, F.lit(0.0))) == [1.0, 2.0] and one(spark, n.lerp(a, b, F.lit(1.0))) == [5.0, 8.0]
     assert one(spark, n.mse(a, a)) == 0.0 and one(spark, n.velocity(a, b)) == [4.0, 6.0]
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    values = [2.0794515, 1.0237465, -2.0479035, 0.5, -0.0000005, 1e306, -5.36474271e11, float("inf"), 0.0, None]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(n.rounded("x", 6), n.rounded("x", 9)).collect()
+    con = duckdb.connect()
+    assert [tuple(r) for r in got] == [con.execute("select round(x, 6), round(x, 9) from (select ?::double as x)", [v]).fetchone() for v in values]
+
+
+def test_interpolated_latents_are_rounded_as_in_the_sql(spark, tmp_path):
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tagloom import registry
+
+    rng = np.random.default_rng(0)
+    rows = np.hstack([rng.normal(0, 1e8, (200, 32)), rng.normal(0, 1, (200, 32))]).astype(np.float32)  # sums that use all bits of a double
+    pq.write_table(pa.table({"vec_id": np.arange(200), "embedding": pa.array(list(rows), pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    got = {r["vec_id"]: list(r["x"]) for r in registry.queries()["flow_lerp"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    assert got == dict(con.execute(registry.oracle_sql()["flow_lerp"]).fetchall())
