@@ -50,14 +50,18 @@ def produce(samples: DataFrame, root: str, stage: str, encoder: Encoder = block_
     todo = pending(samples.where("source is not null"), spark, stage, root, *([mirror] if mirror else []))
     counts = todo.groupBy("source").agg(F.count(F.lit(1)).alias("__n")).withColumn("__parts", F.ceil(F.col("__n") / per_archive))
     counts = shared.kept(counts, shared.new_dir(spark, "producer-pending"))  # what was pending before anything is written
-    made = encoded(todo.where("key is not null"), encoder, most, skip=True).where("latent is not null").join(counts.drop("__n"), "source")
+    dealt = samples.where("key is not null").join(counts.drop("__n"), "source")  # a row a source, so pixels needn't be shuffled
+    made = encoded(dealt, encoder, most, skip=True).where("latent is not null")
     part = F.pmod(F.xxhash64("key"), F.col("__parts")).cast("int")
     named = made.withColumn("archive", output_name(F.col("source"), stage, part)).withColumn("sample_id", hash_id(24, F.col("source"), F.col("key")))
     ordered = archives.latent_members(named, "ord")
-    archives.write(ordered, root, archives.LATENT_ORDER)
-    written = archives.latent_places(archives.archive_paths(spark, root)).groupBy("latent_path").agg(F.count(F.lit(1)).alias("encoded"))
-    written = written.select(F.regexp_extract("latent_path", r"(latent/[^/]+/latent-[0-9a-f]+)(?:-\d+)?\.tar$", 1).alias("stem"), "encoded").groupBy("stem").agg(F.sum("encoded").alias("encoded"))
-    report = counts.withColumn("stem", F.regexp_replace(output_name(F.col("source"), stage), r"\.tar$", "")).join(written, "stem", "left")
+    if not counts.isEmpty():
+        archives.write(ordered, root, archives.LATENT_ORDER)
+    stems = counts.withColumn("stem", F.regexp_replace(output_name(F.col("source"), stage), r"\.tar$", ""))
+    stem = lambda c: F.regexp_extract(c, r"(latent/[^/]+/latent-[0-9a-f]+)(?:-\d+)?\.tar$", 1)
+    new = archives.archive_paths(spark, root).withColumn("stem", stem("path")).join(stems.select("stem"), "stem", "left_semi")
+    written = archives.latent_places(new).groupBy(stem("latent_path").alias("stem")).agg(F.count(F.lit(1)).alias("encoded"))
+    report = stems.join(written, "stem", "left")
     done = F.coalesce("encoded", F.lit(0)).cast("bigint")
     out = report.select("source", F.when(done > 0, F.concat("stem", F.lit(".tar"))).alias("output"), done.alias("encoded"), (F.col("__n") - done).alias("skipped"))
     return out
@@ -95,15 +99,36 @@ def cache_latents(images: DataFrame, root: str, encoder: Encoder = block_means,
     import uuid
 
     spark, run = images.sparkSession, uuid.uuid4().hex
-    wanted = images.where("image_path is not null").withColumn("sample_id", hash_id(20, F.col("image_path"))).dropDuplicates(["sample_id"])
+    rows = images.where("image_path is not null").withColumn("sample_id", hash_id(20, F.col("image_path")))
+    seen = rows.groupBy("sample_id", "image_path").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("bucket", "preprocess_geometry")).alias("__row"))
+    wanted = shared.kept(seen.select("sample_id", "image_path", "__row.*", "__n"), shared.new_dir(spark, "latent-wanted"))
+    at = None if overwrite else store.current(spark, f"{root}/manifest")
     held = manifest(spark, root).select("sample_id", "latent_path", "offset", "nbytes")
-    todo = wanted if overwrite else wanted.join(held.select("sample_id"), "sample_id", "left_anti")
-    archive = F.concat(F.lit(f"latents/{run}/"), F.format_string("%05d", F.pmod(F.xxhash64("sample_id"), F.lit(files))), F.lit(".tar"))
-    made = encoded(todo.select("sample_id", "bucket", "pixels", "shape"), encoder, most)
+    lacking = wanted.select("sample_id", "__n")
+    if at:  # by ids alone: pixels of images that are held aren't made or moved
+        lacking = shared.kept(lacking.join(held.select("sample_id"), "sample_id", "left_anti"), shared.new_dir(spark, "latent-lacking"))
+    places = None if overwrite else held
+    if not lacking.isEmpty():
+        fresh = _cached(rows, lacking, at is not None, root, f"latents/{run}", encoder, most, files)
+        places = fresh if places is None else places.unionByName(fresh)
+    elif places is None:
+        places = held.limit(0)
+    out = wanted.join(places, "sample_id").select(*[c.split(" ")[0] for c in CACHED.split(", ")])
+    store.publish_version(spark, f"{root}/manifest", lambda to: out.write.json(to))
+    return manifest(spark, root)
+
+
+def _cached(rows: DataFrame, lacking: DataFrame, some: bool, root: str, folder: str, encoder: Encoder, most: int, files: int) -> DataFrame:
+    """Encode the images of ``lacking`` (sample_id, __n rows; ``some``: not all of ``rows``) into archives below ``root``/``folder``; their places."""
+    spark = rows.sparkSession
+    narrow = rows.select("sample_id", "bucket", "preprocess_geometry", "shape", "pixels")
+    several = lacking.where("__n > 1").select("sample_id")
+    todo = narrow.join(lacking.select("sample_id"), "sample_id", "left_semi") if some else narrow
+    if not several.isEmpty():  # of equal paths the row that the manifest takes
+        one = narrow.join(several, "sample_id", "left_semi").groupBy("sample_id").agg(F.min(F.struct(*narrow.columns[1:])).alias("__row"))
+        todo = todo.join(several, "sample_id", "left_anti").unionByName(one.select("sample_id", "__row.*"))
+    archive = F.concat(F.lit(f"{folder}/"), F.format_string("%05d", F.pmod(F.xxhash64("sample_id"), F.lit(files))), F.lit(".tar"))
+    made = encoded(todo.drop("preprocess_geometry"), encoder, most)
     named = made.select("sample_id", "latent", "latent_shape", F.to_json(F.struct("bucket")).alias("metadata"), archive.alias("archive"))
     archives.write(archives.latent_members(named), root, archives.LATENT_ORDER)
-    fresh = archives.latent_places(archives.archive_paths(spark, f"{root}/latents/{run}"))
-    places = fresh if overwrite else held.unionByName(fresh)
-    out = wanted.select("sample_id", "image_path", "bucket", "preprocess_geometry").join(places, "sample_id").select(*[c.split(" ")[0] for c in CACHED.split(", ")])
-    store.publish_version(spark, f"{root}/manifest", lambda at: out.write.json(at))
-    return manifest(spark, root)
+    return archives.latent_places(archives.archive_paths(spark, f"{root}/{folder}"))

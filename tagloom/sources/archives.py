@@ -12,6 +12,7 @@ import io
 import tarfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ from tagloom.sources import shared
 
 #: Bytes of archive that one task of ``latents_at`` reads through.
 REGION = 256 << 20
+#: Archives that a commit moves at once.
+MOVERS = 16
 LATENT, METADATA = ".latent.npy", ".json"
 #: Columns by which a sample's two members come after each other, the samples in their order.
 LATENT_ORDER = ["order", "sample_id", "place"]
@@ -77,16 +80,18 @@ class ArchiveWriter(DataSourceArrowWriter):
         all_ = [w for m in messages if m for w in m.written]
         names = [a for _, a, _ in all_]
         twice = {a for a in names if names.count(a) > 1} if len(set(names)) < len(names) else set()
-        there = {a for a in names if self.existing != "replace" and shared.size_of(f"{self.path}/{a}") is not None}
+        with ThreadPoolExecutor(MOVERS) as pool:
+            sizes = list(pool.map(lambda a: shared.size_of(f"{self.path}/{a}"), names)) if self.existing != "replace" else []
+        there = {a for a, n in zip(names, sizes) if n is not None}
         if twice or there and self.existing == "error":
             self.abort(messages)
             raise ValueError(f"archives written by several tasks or there already: {sorted(twice | there)[:3]}")
-        for part, archive, _ in all_:
-            if archive not in there:
-                system, at = shared.files(part)
-                _, to = shared.files(f"{self.path}/{archive}")
-                system.create_dir(to.rpartition("/")[0], recursive=True)
-                system.move(at, to)
+        system, base = shared.files(self.path)
+        for folder in {f"{base}/{a}".rpartition("/")[0] for a in names}:
+            system.create_dir(folder, recursive=True)
+        new = [(shared.files(part)[1], f"{base}/{archive}") for part, archive, _ in all_ if archive not in there]
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(lambda m: system.move(*m), new))
         self.abort(messages)
 
     def abort(self, messages: list[Archives | None]) -> None:
@@ -95,9 +100,14 @@ class ArchiveWriter(DataSourceArrowWriter):
             system.delete_dir(at)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks that work on archives. A number, as Spark would join partitions of few bytes, and these take time by rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def laid_out(members: DataFrame, order: list[str]) -> DataFrame:
     """archive, name and payload, the rows of an archive in one task and in the given order."""
-    return members.repartition("archive").sortWithinPartitions("archive", *order, "name").select("archive", "name", "payload")
+    return members.repartition(tasks(members.sparkSession), "archive").sortWithinPartitions("archive", *order, "name").select("archive", "name", "payload")
 
 
 def write(members: DataFrame, root: str, order: list[str], existing: str = "skip") -> None:
@@ -201,5 +211,5 @@ def latents_at(places: DataFrame, base: str | None = None) -> DataFrame:
     """
     names = ", ".join(f"`{n}` {t}" for n, t in places.dtypes)
     region = F.floor(F.coalesce("offset", F.lit(0)) / REGION)
-    near = places.withColumn("__region", region).repartition("latent_path", "__region").sortWithinPartitions("latent_path", "offset").drop("__region")
+    near = places.withColumn("__region", region).repartition(tasks(places.sparkSession), "latent_path", "__region").sortWithinPartitions("latent_path", "offset").drop("__region")
     return near.mapInArrow(_point_reads(base), f"{names}, shape array<int>, latent array<float>")

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 from tagloom.operators import producer
@@ -187,3 +188,29 @@ def test_versions_switch_by_a_pointer(spark, tmp_path):
         store.publish_version(spark, root, write(n))
     assert not store.exists(spark, first) and not store.exists(spark, second)
     assert len([n for n in store.names(spark, root) if n.startswith("v-")]) == 2
+
+
+def test_held_latents_need_no_pixels(spark, tmp_path):
+    pixels = F.transform(F.sequence(F.lit(1), F.lit(256)), lambda x: x.cast("float"))
+    images = spark.range(6).select(F.concat(F.lit("/i/"), (F.col("id") % 4).cast("string")).alias("image_path"), F.lit("16x16").alias("bucket"), F.array(F.lit(1), F.lit(16), F.lit(16)).alias("shape"), F.array(F.col("id").cast("int")).alias("preprocess_geometry"))
+    root = f"file://{tmp_path}/cache"
+    first = producer.cache_latents(images.withColumn("pixels", pixels), root)
+    assert sorted((r["image_path"], r["preprocess_geometry"]) for r in first.collect()) == [("/i/0", [0]), ("/i/1", [1]), ("/i/2", [2]), ("/i/3", [3])]
+    again = producer.cache_latents(images.withColumn("pixels", F.raise_error(F.lit("pixels were made")).cast("array<float>")), root)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+    more = images.unionByName(images.limit(1).withColumn("image_path", F.lit("/i/new"))).withColumn("pixels", pixels)
+    assert producer.cache_latents(more, root).count() == 5
+
+
+def test_archives_are_written_by_many_tasks(spark):
+    rows = spark.range(64).select(F.format_string("%03d.tar", F.col("id")).alias("archive"), F.lit("a").alias("name"), F.lit("x").cast("binary").alias("payload"))
+    assert archives.laid_out(rows, []).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_pixels_of_raw_samples(spark):
+    from tagloom import fixtures as fx
+
+    for r in fx.raw_samples(spark, "/root/testdata/sf0.001").where("ord < 40").collect():
+        _, h, w = r["shape"]
+        n = 1536 if len(r["pixels"]) == 1536 else 100
+        assert r["pixels"] == [(r["ord"] * 7 + (p // w // 16 * (w // 16) + p % w // 16) * 3) % 32 / 8 - 2 for p in range(n)] and n == (100 if r["ord"] % 19 == 0 else 1536)
