@@ -77,8 +77,9 @@ def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {fx.POSTS}, {INDEX} select bucket, count(*) as n, sum(id)::bigint as ids, 1::bigint as files, (select count(distinct bucket) from idx) as buckets, true as fewer from idx group by bucket")
 def published_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments that are current, compacted behind the pointer; what readers then find."""
-    root = scratch(spark)
-    store.publish_version(spark, root, lambda at: index.write(index.build(fx.posts(spark, sf_dir).repartition(4), MODULUS), at, False))
+    root, posts = scratch(spark), fx.posts(spark, sf_dir)
+    parts = max(4, posts.rdd.getNumPartitions())  # several fragments a bucket, however small the table is
+    store.publish_version(spark, root, lambda at: index.write(index.build(posts.repartition(parts), MODULUS), at, False))
     done = store.compact(spark, root)
     got = index.read(spark, store.current(spark, root)).withColumn("file", F.input_file_name())
     per = got.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count_distinct("file").alias("files"))

@@ -200,7 +200,8 @@ def compact(spark: SparkSession, root: str) -> dict:
         if _figures(spark, new) != figures:
             raise ValueError(f"{new} doesn't hold the rows of {at}")
 
-    new = publish_version(spark, root, lambda to: index.write(index.read(spark, at), to), check)
+    above = 1 + max((int(r["bucket"]) for r in figures if r["bucket"].isdigit()), default=0)
+    new = publish_version(spark, root, lambda to: index.write(index.read(spark, at), to, buckets=above), check)
     return {"buckets": len(figures), "before": before["files"], "after": index.stats(index.read(spark, new)).head()["files"]}
 
 

@@ -214,3 +214,13 @@ def test_pixels_of_raw_samples(spark):
         _, h, w = r["shape"]
         n = 1536 if len(r["pixels"]) == 1536 else 100
         assert r["pixels"] == [(r["ord"] * 7 + (p // w // 16 * (w // 16) + p % w // 16) * 3) % 32 / 8 - 2 for p in range(n)] and n == (100 if r["ord"] % 19 == 0 else 1536)
+
+
+def test_compaction_gives_each_bucket_a_task(spark, tmp_path):
+    from tagloom.operators import index
+
+    rows = spark.range(400).select("id", index.bucket_of(F.col("id"), 40).alias("bucket"))
+    index.write(rows.unionByName(spark.createDataFrame([(None, "null")], "id long, bucket string")), str(tmp_path / "i"), buckets=40)
+    files = sorted((tmp_path / "i").glob("bucket=*/part-*.parquet"))
+    tasks = {f.name.split("-")[1] for f in files}
+    assert len(files) == 41 and len(tasks) == 40  # of whole numbers none shares a task
