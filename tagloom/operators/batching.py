@@ -85,8 +85,9 @@ def grouped(blocks: DataFrame, batch: int, accumulate: int) -> DataFrame:
     """As ``groups``, for samples that have their block and position. Counts and plan, a row for each block and bucket, are written once."""
     spark = blocks.sparkSession
     counts = shared.kept(blocks.groupBy("block", "bucket").agg(F.count(F.lit(1)).alias("n")), shared.new_dir(spark, "block-counts"))
-    buckets = counts.groupBy("bucket").agg(F.max("block").alias("last")).collect()  # a row a bucket
-    names, few = sorted(r["bucket"] for r in buckets), all(r["last"] < CHUNK for r in buckets)
+    buckets = counts.groupBy("bucket").agg(F.min("block").alias("first"), F.max("block").alias("last")).collect()  # a row a bucket
+    names = sorted(r["bucket"] for r in buckets)
+    few = max((r["last"] for r in buckets), default=0) - min((r["first"] for r in buckets), default=0) < CHUNK
     if not names:
         return blocks.withColumn("emitted_block", F.lit(None).cast("bigint")).withColumn("group_no", F.lit(None).cast("bigint"))
     plan = shared.kept(taken(counts, names, batch, accumulate, few), shared.new_dir(spark, "block-plan"))
@@ -101,12 +102,13 @@ def _place(shard: int, sample: int) -> Column:
     return F.struct(F.lit(shard).cast("bigint").alias("shard_index"), F.lit(sample).cast("bigint").alias("sample_index"))
 
 
-def safe_cursors(grouped: DataFrame, trained: tuple[int, int] | None = None) -> DataFrame:
+def safe_cursors(grouped: DataFrame, trained: tuple[int, int] | None = None, few: bool = False) -> DataFrame:
     """group_no, shard_index and sample_index of the cursor that may be stored after each group.
 
     It lies just before the first sample that has been seen but not trained: in later groups of the
     same block, or left waiting by then; if there is none, at the last trained one. A shard never
     changes on the way back, so the place may be -1. ``trained``: the last (shard, place) of an earlier call.
+    ``few``: there are at most scans.CHUNK blocks.
     """
     at = F.struct("shard_index", "sample_index")
     per = grouped.where("group_no is not null").groupBy("group_no", "emitted_block").agg(F.min(at).alias("low"), F.max(at).alias("high"))
@@ -114,11 +116,11 @@ def safe_cursors(grouped: DataFrame, trained: tuple[int, int] | None = None) ->
     later = F.min("low").over(inside.rowsBetween(1, W.unboundedFollowing))
     # a row for each block: what was trained before it, and what waits after it
     highs = per.groupBy(F.col("emitted_block").alias("k")).agg(F.max("high").alias("high"))
-    blocks = scan(highs, [], "k", {"past": ("max", F.col("high"))}, before=True).select("k", "past")
+    blocks = scan(highs, [], "k", {"past": ("max", F.col("high"))}, before=True, few=few).select("k", "past")
     waits = grouped.groupBy("block", F.col("emitted_block").alias("goes")).agg(F.min(at).alias("at"))
     passing = waits.where("goes > block").select(F.explode(F.expr("sequence(block, goes - 1)")).alias("k"), "at")
     ever = blocks.select("k", F.lit(None).cast("struct<shard_index:bigint,sample_index:bigint>").alias("at")).unionByName(waits.where("goes is null").select(F.col("block").alias("k"), F.col("at").cast("struct<shard_index:bigint,sample_index:bigint>").alias("at")))
-    ever = scan(ever.groupBy("k").agg(F.min("at").alias("low")), [], "k", {"at": ("min", F.col("low"))}).select("k", "at")
+    ever = scan(ever.groupBy("k").agg(F.min("at").alias("low")), [], "k", {"at": ("min", F.col("low"))}, few=few).select("k", "at")
     still = passing.select("k", F.col("at").cast("struct<shard_index:bigint,sample_index:bigint>").alias("at")).unionByName(ever).groupBy("k").agg(F.min("at").alias("still"))
     out = per.withColumn("later", later).withColumn("here", F.max("high").over(inside)).join(blocks, F.col("emitted_block") == F.col("k")).drop("k").join(still, F.col("emitted_block") == F.col("k"), "left")
     out = out.withColumn("trained", F.greatest("here", F.coalesce("past", "here"), *([_place(*trained)] if trained else [])))

@@ -137,6 +137,14 @@ def ordered_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zipped(numbered, made, "ord")
 
 
+#: Turns of encoding and training in which ``rolling_stream`` goes over a table, however large; a small one takes five shards a turn.
+TURNS = 4
+
+
+def shards_a_turn(shards: int) -> int:
+    return max(5, -(-shards // TURNS))
+
+
 TILES = "samples as (select doc_id as id, doc_id//100 as shard_index, doc_id%100 as sample_index, ['16x16','16x32','32x16'][doc_id*doc_id%3+1] as bucket from documents)"
 
 
@@ -153,7 +161,7 @@ def rolling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = (i * i % 3).cast("int") + 1
     side = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), odd)
     tiles = fx.table(spark, sf_dir, "documents").select(F.format_string("%06d.tar", F.floor(i / 100)).alias("archive"), i.alias("ord"), F.format_string("%09d", i).alias("sample_id"), side("16x16", "16x32", "32x16").alias("bucket"), F.array(F.lit(1), side(16, 32, 16), side(16, 16, 32)).alias("latent_shape"), (i % 32 / 8).alias("v"))
-    pixels = F.transform(F.sequence(F.lit(1), F.element_at("latent_shape", 2) * F.element_at("latent_shape", 3)), lambda _: F.col("v").cast("float"))
+    pixels = F.array_repeat(F.col("v").cast("float"), F.element_at("latent_shape", 2) * F.element_at("latent_shape", 3))
     rows = tiles.withColumn("latent", pixels).withColumn("metadata", F.to_json(F.struct("bucket")))
     archives.write(archives.latent_members(rows, "ord"), f"{root}/shards", archives.LATENT_ORDER)
     shards = sorted(r["path"] for r in archives.archive_paths(spark, f"{root}/shards").collect())  # a row a shard
@@ -166,7 +174,7 @@ def rolling_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(consume) -> Rolling:
         rolling = Rolling(f"{root}/state", BLOCK, BATCH, ACCUMULATE, consume=consume)
-        stream = latents.latent_stream(spark, shards, checkpoint=f"{root}/checkpoint", shards_per_batch=5, shuffle=False)
+        stream = latents.latent_stream(spark, shards, checkpoint=f"{root}/checkpoint", shards_per_batch=shards_a_turn(len(shards)), shuffle=False)
         samples_ = stream.select("shard_index", "sample_index", F.get_json_object("metadata", "$.bucket").alias("bucket"), F.col("latent").alias("pixels"), "shape")
         q = samples_.writeStream.foreachBatch(rolling).option("checkpointLocation", f"{root}/checkpoint").start()
         try:

@@ -88,8 +88,11 @@ class LatentStreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         self.next = end
         out, at = [], (start["epoch"], start["shard"])
+        epoch, order = None, []
         while at < (end["epoch"], end["shard"]):
-            path = self.order(at[0])[at[1]]
+            if epoch != at[0]:  # sorted once an epoch, not once a shard
+                epoch, order = at[0], self.order(at[0])
+            path = order[at[1]]
             out.append(Slice(*at, path, start["sample"] if at == (start["epoch"], start["shard"]) else -1))
             n = at[1] + 1
             at = (at[0] + n // len(self.shards), n % len(self.shards))

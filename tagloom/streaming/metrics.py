@@ -51,7 +51,7 @@ class RunLog:
         """run_id, step, name, value and at of everything recorded."""
         if not store.names(self.spark, f"{self.root}/metrics"):
             return self.spark.createDataFrame([], ROWS)
-        return self.spark.read.schema(ROWS).json(f"{self.root}/metrics")
+        return self.spark.read.schema(ROWS).option("pathGlobFilter", "*.json").json(f"{self.root}/metrics")  # no file that is being written
 
     def listener(self) -> StreamingQueryListener:
         return _Progress(self)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tagloom.operators import batching
 from tagloom.operators.encode import Encoder, block_means, encoded
 from tagloom.operators.ingest import global_ordinals
+from tagloom.operators.scans import CHUNK
 from tagloom.sources import store
 
 Hook = Callable[[], None]
@@ -79,10 +80,11 @@ class Rolling:
         if full > before["position"] // self.block * self.block:
             keys = samples.where(F.col("position") < full).select(*KEYS).withColumn("block", F.floor(F.col("position") / self.block))
             grouped = self._kept(batching.grouped(keys, self.batch, self.accumulate), "grouped", batch_id)
-            figures = grouped.where("group_no is not null").agg(F.count_distinct("group_no").alias("n"), F.max(F.struct("shard_index", "sample_index")).alias("last")).head()
+            gone = F.col("group_no").isNotNull()
+            figures = grouped.agg(F.count_distinct("group_no").alias("n"), F.max(F.when(gone, F.struct("shard_index", "sample_index"))).alias("last"), F.count_distinct("block").alias("blocks")).head()
             if figures["n"]:
                 self.before_train()
-                self._emit(samples, grouped, before, batch_id)
+                self._emit(samples, grouped, before, batch_id, figures["blocks"] <= CHUNK)
                 now["groups"] += figures["n"]
                 now["trained"] = max(filter(None, [before["trained"], list(figures["last"])]))
             taken = grouped.where("group_no is not null").select("position")
@@ -92,8 +94,8 @@ class Rolling:
         self._kept(rest, "waiting", batch_id)
         store.write_text(spark, f"{self.root}/state/{batch_id}.json", json.dumps(now))  # from here on the micro-batch is done
 
-    def _emit(self, samples: DataFrame, grouped: DataFrame, before: dict, batch_id: int) -> None:
-        cursors = batching.safe_cursors(grouped, tuple(before["trained"]) if before["trained"] else None).select("group_no", F.col("shard_index").alias("resume_shard_index"), F.col("sample_index").alias("resume_sample_index"))
+    def _emit(self, samples: DataFrame, grouped: DataFrame, before: dict, batch_id: int, few: bool) -> None:
+        cursors = batching.safe_cursors(grouped, tuple(before["trained"]) if before["trained"] else None, few).select("group_no", F.col("shard_index").alias("resume_shard_index"), F.col("sample_index").alias("resume_sample_index"))
         groups = grouped.where("group_no is not null").select("position", "group_no").join(cursors, "group_no")
         out = samples.join(groups, "position").withColumn("group_no", F.col("group_no") + before["groups"])
         out = self._kept(out, "out", batch_id)

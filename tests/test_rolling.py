@@ -174,3 +174,26 @@ def test_trained_before_counts_where_nothing_waits(spark):
     df = spark.createDataFrame([(0, i, "a") for i in range(4)], "shard_index bigint, sample_index bigint, bucket string")
     grouped = batching.groups(df, 4, 2, 2)
     assert [tuple(r)[1:] for r in batching.safe_cursors(grouped, (3, 1)).orderBy("group_no").collect()] == [(0, 1), (3, 1)]
+
+
+def test_turns_do_not_grow_with_the_table():
+    from tagloom.plans.batches import TURNS, shards_a_turn
+
+    assert [shards_a_turn(n) for n in (1, 10, 20)] == [5, 5, 5]
+    assert all(-(-n // shards_a_turn(n)) <= TURNS for n in (21, 513, 5_130, 30_770))
+
+
+def test_shards_are_ordered_once_an_epoch(monkeypatch):
+    calls = []
+    monkeypatch.setattr(latents, "shard_order", lambda shards, seed, epoch: calls.append(epoch) or sorted(shards, reverse=epoch % 2 == 1))
+    reader = latents.LatentStreamReader({"shards": "a\nb\nc", "epochs": "2"})
+    got = reader.partitions({"epoch": 0, "shard": 1, "sample": 4}, {"epoch": 1, "shard": 2, "sample": -1})
+    assert [(p.epoch, p.index, p.path, p.after) for p in got] == [(0, 1, "b", 4), (0, 2, "c", -1), (1, 0, "c", -1), (1, 1, "b", -1)]
+    assert calls == [0, 1]
+
+
+def test_one_window_or_several_give_the_same_cursors(spark, tmp_path):
+    _, rows = corpus(tmp_path, 3)
+    samples_ = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "shard_index long, sample_index long, bucket string")
+    grouped = batching.groups(samples_, BLOCK, BATCH, ACCUMULATE)
+    assert sorted(map(tuple, batching.safe_cursors(grouped, few=True).collect())) == sorted(map(tuple, batching.safe_cursors(grouped).collect()))

@@ -91,6 +91,13 @@ def test_metrics_equal_a_batch_aggregate_and_outlive_a_restart(spark, tmp_path):
     assert RunLog(spark, str(tmp_path / "other")).run_id != log.run_id
 
 
+def test_figures_that_are_being_written_are_not_read(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "run"))
+    log.record(1, {"a": 1.0})
+    (tmp_path / "run" / "metrics" / "step-000000000002.json.partial-0a").write_text('{"name": "half')
+    assert [r["name"] for r in log.table().collect()] == ["a"]
+
+
 def test_a_listener_keeps_every_micro_batch(spark, tmp_path):
     import time
 
