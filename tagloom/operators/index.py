@@ -49,16 +49,14 @@ def build(source: DataFrame, modulus: int = MODULUS) -> DataFrame:
     return project(usable(source)).withColumn("bucket", bucket_of(F.col("id"), modulus))
 
 
-def write(index: DataFrame, path: str, whole: bool = True, buckets: int | None = None) -> None:
-    """One directory a bucket, ZSTD Parquet. ``whole``: a bucket's rows meet in one task and file; else each task writes its own fragments, without a shuffle.
-
-    ``buckets``: a number above all buckets, where the caller knows one; then no two share a task.
-    """
-    spread = index
-    if whole and buckets:
-        spread = index.repartitionById(buckets, F.coalesce(F.pmod(F.col("bucket").try_cast("int"), F.lit(buckets)), F.lit(0)))
-    elif whole:
-        spread = index.repartition("bucket")
+def by_bucket(index: DataFrame, above: int) -> DataFrame:
+    """Each bucket's rows in a partition of their own; ``above`` is a number above all buckets."""
+    return index.repartitionById(above, F.coalesce(F.pmod(F.col("bucket").try_cast("int"), F.lit(above)), F.lit(0)))
+
+
+def write(index: DataFrame, path: str, whole: bool = True) -> None:
+    """One directory a bucket, ZSTD Parquet. ``whole``: a bucket's rows meet in one task and file; else each task writes its own fragments, without a shuffle."""
+    spread = index.repartition("bucket") if whole else index
     spread.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 

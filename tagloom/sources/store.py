@@ -201,7 +201,7 @@ def compact(spark: SparkSession, root: str) -> dict:
             raise ValueError(f"{new} doesn't hold the rows of {at}")
 
     above = 1 + max((int(r["bucket"]) for r in figures if r["bucket"].isdigit()), default=0)
-    new = publish_version(spark, root, lambda to: index.write(index.read(spark, at), to, buckets=above), check)
+    new = publish_version(spark, root, lambda to: index.write(index.by_bucket(index.read(spark, at), above), to, False), check)
     return {"buckets": len(figures), "before": before["files"], "after": index.stats(index.read(spark, new)).head()["files"]}
 
 

@@ -220,7 +220,8 @@ def test_compaction_gives_each_bucket_a_task(spark, tmp_path):
     from tagloom.operators import index
 
     rows = spark.range(400).select("id", index.bucket_of(F.col("id"), 40).alias("bucket"))
-    index.write(rows.unionByName(spark.createDataFrame([(None, "null")], "id long, bucket string")), str(tmp_path / "i"), buckets=40)
+    rows = rows.unionByName(spark.createDataFrame([(None, "null")], "id long, bucket string"))
+    index.write(index.by_bucket(rows, 40), str(tmp_path / "i"), False)
     files = sorted((tmp_path / "i").glob("bucket=*/part-*.parquet"))
     tasks = {f.name.split("-")[1] for f in files}
     assert len(files) == 41 and len(tasks) == 40  # of whole numbers none shares a task
