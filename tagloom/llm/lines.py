@@ -188,13 +188,15 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _across(met: DataFrame, roots: DataFrame, texts: DataFrame, share: int, most: int, tau: int) -> DataFrame:
-    """Pairs (a, b) of lines of a key that are in different components and share one of the tokens rarest in it."""
+def _across(met: DataFrame, roots: DataFrame, texts: DataFrame, share: int, most: int, tau: int) -> tuple[DataFrame | None, tuple[DataFrame, ...]]:
+    """Pairs (a, b) of lines of a key that are in different components and share one of the tokens rarest in it, None where no key has such lines; the tables they are read from."""
     # all have been compared with the first line of the key, so others must differ among themselves
     w = W.partitionBy("key")
     rooted = met.where("id <> low").join(roots, met["id"] == roots["node"], "left").select("key", "id", "own", F.coalesce("root", "id").alias("root"))
     several = rooted.withColumn("one", F.min("root").over(w)).withColumn("other", F.max("root").over(w)).withColumn("found", F.max("own").over(w)).where("one < other and found").select("key", "id", "own", "root")
     several = stored(several, "lines-several")
+    if several.isEmpty():
+        return None, (several,)
     worded = F.col("key").bitwiseAND(F.lit(1)) == 1
     told = lambda df: df.join(texts, "id").withColumn("differ", F.when(worded, F.least(F.lit(most), _div(F.col("words"), share))).otherwise(GRAM * tau))
     lines = _once(told(several.select("key", "id")), "tokens", F.array_distinct(F.when(worded, F.split("line", " ")).otherwise(_grams(F.col("line")))))
@@ -255,9 +257,9 @@ def repeated_lines(docs: DataFrame, share: int = 10, most: int = 3, tau: int = 2
     links = stored(_compared(star, texts, share, most, tau), "lines-links")
     roots = stored(components(links), "lines-roots")
     cross, spent = _across(met, roots, texts, share, most, tau)
-    more = stored(_compared(cross.join(star, ["a", "b"], "left_anti"), texts, share, most, tau), "lines-more")
+    more = None if cross is None else stored(_compared(cross.join(star, ["a", "b"], "left_anti"), texts, share, most, tau), "lines-more")
     remove(spark, met, star, texts, links, *spent)
-    if not more.isEmpty():
+    if more is not None and not more.isEmpty():
         roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "lines-roots")
 
     grouped = firsts.join(roots, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null").select("h", "first", F.coalesce("root", "id").alias("root"))

@@ -393,6 +393,8 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
         for c in "ab":
             pairs = pairs.join(sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")).hint("merge"), c)
         likely = stored(pairs.mapInArrow(_likely(t), "a long, b long"), "ngram-likely")
+        if likely.isEmpty():
+            return likely.select(F.col("a").alias("u"), F.col("b").alias("v"))
         b = likely.hint("merge").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
         first_texts = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")).join(likely.select("a").distinct(), "a", "left_semi")
         linked = b.join(first_texts, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_verify(size, t), "u long, v long")
@@ -412,8 +414,7 @@ def ngram_join(docs: DataFrame, size: int = 5, threshold: Fraction | str = Fract
             rooted = rooted.join(several.hint("merge"), "key", "left_semi").join(sketches.select("fp", "sketch").hint("merge"), "fp")
         crossing = rooted.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(_cross(t, None if last else turn), "a long, b long")
         crossing = stored(crossing.distinct().join(tested, ["a", "b"], "left_anti"), "ngram-crossing")
-        more = compared(crossing)
-        if not more.isEmpty():
+        if not crossing.isEmpty() and not (more := compared(crossing)).isEmpty():
             roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "ngram-roots")
         elif not last:
             turn = TURNS - 1  # another member would hardly do better
